@@ -87,7 +87,7 @@ def fdr_summary(psms: DataFrame, opts: ReportOptions = ReportOptions()) -> DataF
     return rows.agg(
         F.count(F.lit(1)).alias("n_psms"),
         F.countDistinct("title").alias("n_spectra"),
-        (n_decoys / n_targets).alias("overall_fdr"),
+        F.try_divide(n_decoys, n_targets).alias("overall_fdr"),
         F.count(F.when(passed, 1)).alias("psms_at"),
         F.countDistinct(F.when(passed, F.col("modseq"))).alias("unique_at"),
         F.count(F.when(passed & ~F.col("decoy"), 1)).alias("targets_at"),

@@ -127,6 +127,8 @@ CTES = {
     "frags": "SELECT protein_id, descr, unnest(f) AS seq, generate_subscripts(f, 1) - 1 AS k FROM flists",
     "peps": _digest("flists"),
     "dpeps": _digest("dlists"),
+    "mlists": f"SELECT protein_id, descr, {_cut("'M' || seq")} AS f FROM proteins",
+    "mpeps": _digest("mlists"),
     "merged": """
     SELECT seq, bool_and(decoy) AS decoy,
         CASE WHEN bool_and(decoy) THEN string_agg(descr, ';' ORDER BY descr)

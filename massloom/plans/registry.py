@@ -96,16 +96,11 @@ def digest_missed_cleavages(spark, sf_dir):
     return _per_protein(dig.digest(fx.proteins(spark, sf_dir)))
 
 
-@query(
-    sql(
-        """SELECT protein_id, count(*) AS n, sum(length(seq))::BIGINT AS letters, """
-        + _check("seq")
-        + """ FROM peps JOIN (SELECT protein_id FROM flists WHERE f[1] LIKE 'M%') USING (protein_id) GROUP BY 1"""
-    )
-)
+@query(sql(_PER_PROTEIN.format("mpeps")))
 def met_truncation(spark, sf_dir):
-    starts = F.startswith(F.get(dig.fragments(F.col("seq")), F.lit(0)), F.lit("M"))
-    return _per_protein(dig.digest(fx.proteins(spark, sf_dir).where(starts)))
+    """Every protein behind a start methionine."""
+    started = fx.proteins(spark, sf_dir).withColumn("seq", F.concat(F.lit("M"), "seq"))
+    return _per_protein(dig.digest(started))
 
 
 @query(
@@ -220,16 +215,16 @@ def modseq_parse(spark, sf_dir):
     )
 
 
-@query(sql("SELECT seq, round(mass, 6) AS mass, round((mass + 1.00727646688e0) / 2, 6) AS mz2 FROM pcands"))
+@query(sql("SELECT seq, round(mass * 1e9)::BIGINT AS mass, round((mass + 1.00727646688e0) / 2, 6) AS mz2 FROM pcands"))
 def peptide_mass(spark, sf_dir):
     return _plain_candidates(spark, sf_dir).select(
-        "seq", F.round("mass", 6).alias("mass"), F.round(chem.charged_mass(F.col("mass"), 2), 6).alias("mz2")
+        "seq", micro(F.col("mass"), 1e9).alias("mass"), F.round(chem.charged_mass(F.col("mass"), 2), 6).alias("mz2")
     )
 
 
 @query(
     sql(
-        """SELECT length, count(*) AS n, round(min(mass), 6) AS min_mass, round(max(mass), 6) AS max_mass
+        """SELECT length, count(*) AS n, round(min(mass) * 1e9)::BIGINT AS min_mass, round(max(mass) * 1e9)::BIGINT AS max_mass
         FROM pcands WHERE mass BETWEEN 800 AND 2500 AND length BETWEEN 8 AND 20 GROUP BY 1"""
     )
 )
@@ -239,7 +234,7 @@ def mass_length_filter(spark, sf_dir):
     )
     rows = cand.build_candidates(fx.proteins(spark, sf_dir), opts)
     return rows.groupBy("length").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("mass"), 6).alias("min_mass"), F.round(F.max("mass"), 6).alias("max_mass")
+        F.count(F.lit(1)).alias("n"), micro(F.min("mass"), 1e9).alias("min_mass"), micro(F.max("mass"), 1e9).alias("max_mass")
     )
 
 
@@ -688,14 +683,14 @@ def psm_features(spark, sf_dir):
 @query(
     sql(
         """SELECT title, descr, seq, modseq, round(score, 6) AS score, charge AS query_charge, round(query_mass, 6) AS query_mass,
-        round(cand_mass, 6) AS cand_mass, cand_id AS candrow, query_id AS qrow FROM best"""
+        round(cand_mass * 1e9)::BIGINT AS cand_mass, cand_id AS candrow, query_id AS qrow FROM best"""
     )
 )
 def search_topn(spark, sf_dir):
     rows = search_ops.result_table(search_ops.search(*_all_sides(spark, sf_dir), retain=10))
     return rows.select(
         "title", F.col("desc").alias("descr"), "seq", "modseq", F.round("score", 6).alias("score"), "query_charge",
-        F.round("query_mass", 6).alias("query_mass"), F.round("cand_mass", 6).alias("cand_mass"), "candrow", "qrow",
+        F.round("query_mass", 6).alias("query_mass"), micro(F.col("cand_mass"), 1e9).alias("cand_mass"), "candrow", "qrow",
     )
 
 
@@ -756,7 +751,7 @@ def fdr_curve(spark, sf_dir):
 
 _LIMIT = 0.3
 _SUMMARY = """SELECT count(*) AS n_psms, count(DISTINCT title) AS n_spectra,
-    round(count(*) FILTER (decoy) / count(*) FILTER (NOT decoy), 9) AS overall_fdr,
+    round(count(*) FILTER (decoy) / nullif(count(*) FILTER (NOT decoy), 0), 9) AS overall_fdr,
     count(*) FILTER (score >= cut) AS psms_at, count(DISTINCT modseq) FILTER (score >= cut) AS unique_at,
     count(*) FILTER (score >= cut AND NOT decoy) AS targets_at, count(*) FILTER (score >= cut AND decoy) AS decoys_at,
     count(DISTINCT title) FILTER (score >= cut) AS spectra_at, count(DISTINCT modseq) AS unique_all, max(cut) AS cutoff,
@@ -849,9 +844,9 @@ def report_ranges(spark, sf_dir):
 
 @query(
     sql(
-        """SELECT len(list_filter(range(1, 10), lambda i: floor(i * m / 10) <= at))::INTEGER AS decile,
+        """SELECT len(list_filter(range(1, 10), lambda i: floor(i * m / 10) <= idx))::INTEGER AS decile,
         round(avg(q), 9) AS mean_fdr, count(*) AS n
-        FROM (SELECT q, row_number() OVER (ORDER BY q DESC) - 1 AS at, count(*) OVER () AS m FROM curve) GROUP BY 1"""
+        FROM (SELECT q, row_number() OVER (ORDER BY q DESC) - 1 AS idx, count(*) OVER () AS m FROM curve) GROUP BY 1"""
     )
 )
 def fdr_by_curve_decile(spark, sf_dir):
@@ -859,7 +854,9 @@ def fdr_by_curve_decile(spark, sf_dir):
     return report.fdr_by_decile(levels).withColumn("mean_fdr", F.round("mean_fdr", 9))
 
 
-_FALSE = """SELECT * REPLACE (modseq <> 'view' || floor(query_id % 60)::BIGINT || '[0]' AS decoy) FROM top1"""
+_FALSE = """SELECT * REPLACE (modseq <> truth AS decoy) FROM top1 JOIN (
+    SELECT title, truth FROM (SELECT title, modseq AS truth, row_number() OVER (PARTITION BY title ORDER BY score DESC, psm_id) AS rn
+    FROM ev_psms WHERE seq NOT LIKE 'click%') WHERE rn = 1) USING (title)"""
 
 
 @query(sql(_SUMMARY.format(levels="lv_false", rows="false1"), false1=_FALSE, lv_false=o.levels("false1")))
@@ -867,8 +864,9 @@ def fdp_report(spark, sf_dir):
     from massloom.options import ReportOptions
 
     psms = fx.event_psms(spark, sf_dir)
-    truth = F.concat(F.lit("view"), F.pmod("query_id", F.lit(60)).cast("string"), F.lit("[0]"))
-    titles = psms.select("title", truth.alias("truth")).distinct()
+    # the best match that is no click counts as the truth
+    titles = search_ops.top_n(psms.where(~F.col("seq").like("click%")), 1, "title", ("psm_id",))
+    titles = titles.select("title", F.col("modseq").alias("truth"))
     out = report.fdp_report(psms, titles, ReportOptions(fdr=_LIMIT))["summary"]
     return out.withColumn("overall_fdr", F.round("overall_fdr", 9))
 

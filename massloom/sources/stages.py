@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -16,10 +19,12 @@ def workspace(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="massloom-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="massloom-")
+    return _local_folders[context.applicationId]
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
