@@ -159,5 +159,18 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# unit of the sums behind scores
+FINE = 1e12
+
+
+def exact_sum(value: Column, scale: float = 1.0) -> Column:
+    """Sum in whole units of ``scale`` / 1e12, so it does not depend on the order of the rows.
+
+    Equal evidence then gives equal scores, whatever the partitioning.
+    """
+    unit = FINE / scale if scale else FINE
+    return F.sum(F.rint(value * F.lit(unit)).cast("bigint")) / F.lit(unit)
+
+
 def is_decoy(desc: Column, prefix: str = "DECOY_") -> Column:
     return F.startswith(desc, F.lit(prefix))

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massloom.functions import chem
 from massloom.functions.chem import bind
 from massloom.operators.matching import PAIR, ions_considered, match, mz_buckets
 from massloom.operators.precursor import CELL
@@ -266,9 +267,9 @@ def xcorr(
     return (
         once.groupBy(*PAIR)
         .agg(
-            F.sum(F.col("value") * share * F.col("weight")).alias("score"),
+            chem.exact_sum(F.col("value") * share * F.col("weight"), opts.multiplier).alias("score"),
             F.count(F.when(hit, 1)).alias("total_matched"),
-            F.sum(F.when(hit, F.col("value")).otherwise(0.0)).alias("sum_i"),
+            chem.exact_sum(F.when(hit, F.col("value")).otherwise(0.0), opts.multiplier).alias("sum_i"),
         )
         .where(F.col("score") > 0)
         .withColumn("ion_frac", F.col("total_matched") / ions_considered(ions, opts.series_count))

@@ -212,7 +212,7 @@ def _hyper(matches: str) -> str:
                  WHEN charge = 3 THEN f1 * f2
                  ELSE greatest(f1 * f2, f1 * f3, f2 * f3) END, 1.7976931348623157e308) AS score
     FROM (
-        SELECT query_id, cand_id, charge, length, norm, count(*) AS total_matched, sum(share) AS sum_all,
+        SELECT query_id, cand_id, charge, length, norm, count(*) AS total_matched, sum(round_even(share * 1e12, 0)::BIGINT) / 1e12 AS sum_all,
             factorial(least(20, count(*) FILTER (z = 1))::INTEGER)::DOUBLE AS f1,
             factorial(least(20, count(*) FILTER (z = 2))::INTEGER)::DOUBLE AS f2,
             factorial(least(20, count(*) FILTER (z = 3))::INTEGER)::DOUBLE AS f3
@@ -222,9 +222,9 @@ def _hyper(matches: str) -> str:
 def _xcorr(pairs: str, ions: str) -> str:
     share = _share("i.bin", "o.bin", "i.n_bins", gauss(), False)
     return f"""
-    SELECT i.query_id, i.cand_id, i.charge, i.length, sum(o.value * {share}) AS score,
+    SELECT i.query_id, i.cand_id, i.charge, i.length, sum(round_even(o.value * {share} * 1e12, 0)::BIGINT) / 1e12 AS score,
         count(*) FILTER (i.bin = o.bin) AS total_matched,
-        coalesce(sum(o.value) FILTER (i.bin = o.bin), 0e0) AS sum_i
+        coalesce(sum(round_even(o.value * 1e12, 0)::BIGINT) FILTER (i.bin = o.bin) / 1e12, 0e0) AS sum_i
     FROM (
         SELECT DISTINCT p.query_id, p.cand_id, p.charge, p.length, g.n_bins, floor(i.mz / g.res)::INTEGER AS bin
         FROM {pairs} p JOIN grid g ON p.query_id = g.query_id JOIN {ions} i ON p.cand_id = i.cand_id AND i.z < p.charge
@@ -234,7 +234,7 @@ def _xcorr(pairs: str, ions: str) -> str:
         UNION ALL SELECT *, bin // 200 FROM normed WHERE (bin - 80) // 200 = (bin + 80) // 200
     ) o ON i.query_id = o.query_id AND i.bin // 200 = o.b
     WHERE abs(i.bin - o.bin) <= 80
-    GROUP BY ALL HAVING sum(o.value * {share}) > 0"""
+    GROUP BY ALL HAVING sum(round_even(o.value * {share} * 1e12, 0)::BIGINT) > 0"""
 
 
 CTES |= {
