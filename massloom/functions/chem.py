@@ -132,7 +132,7 @@ def tolerance_delta(mass: Column, tolerance: float, unit: str) -> Column:
 
 def render_modseq(seq: Column, mods: Column) -> Column:
     """``seq`` with ``[delta]`` after every modified residue."""
-    return F.array_join(
+    marked = F.array_join(
         F.zip_with(
             residues(seq),
             mods,
@@ -140,6 +140,7 @@ def render_modseq(seq: Column, mods: Column) -> Column:
         ),
         "",
     )
+    return F.when(F.exists(mods, lambda m: m != 0), marked).otherwise(seq)
 
 
 def truth_modseq(truth: Column) -> Column:

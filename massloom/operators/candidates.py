@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions import chem
-from massloom.operators.digest import digest, digest_decoys
+from massloom.operators.digest import digest, digest_both
 from massloom.options import DigestOptions
 
 
@@ -30,28 +30,23 @@ def with_fixed_mods(peptides: DataFrame, opts: DigestOptions = DigestOptions())
     return peptides.withColumn("mods", fixed_mods(F.col("seq"), opts))
 
 
-def explode_variable_mods(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
-    """One row per choice of at most ``max_variable`` modified sites.
-
-    A residue that carries a fixed modification takes no variable one.
-    """
+def _choices(opts: DigestOptions) -> Column | None:
+    """Every set of at most ``max_variable`` modified sites of ``seq``, with their deltas."""
     variable = _deltas(opts.variable_mods)
     if not variable or opts.max_variable <= 0:
-        return peptides
-    choices = {aa: ds if opts.alternatives else [sum(ds)] for aa, ds in variable.items()}
-    options = F.create_map(
-        *[c for aa, ds in choices.items() for c in (F.lit(aa), F.array(*map(F.lit, ds)))]
-    )
+        return None
+    offered = {aa: ds if opts.alternatives else [sum(ds)] for aa, ds in variable.items()}
+    table = F.create_map(*[c for aa, ds in offered.items() for c in (F.lit(aa), F.array(*map(F.lit, ds)))])
     sites = F.filter(
         F.transform(
             F.arrays_zip(chem.residues(F.col("seq")).alias("aa"), F.col("mods").alias("m")),
             lambda x, i: F.struct(
-                i.alias("pos"), F.try_element_at(options, x["aa"]).alias("deltas"), x["m"].alias("m")
+                i.alias("pos"), F.try_element_at(table, x["aa"]).alias("deltas"), x["m"].alias("m")
             ),
         ),
         lambda s: s["deltas"].isNotNull() & (s["m"] == 0),
     )
-    subsets = F.aggregate(
+    return F.aggregate(
         sites,
         F.array(F.array().cast("array<struct<pos:int,delta:double>>")),
         lambda acc, s: F.concat(
@@ -67,23 +62,37 @@ def explode_variable_mods(peptides: DataFrame, opts: DigestOptions = DigestOptio
             ),
         ),
     )
-    exploded = peptides.withColumn("_chosen", F.explode_outer(subsets))
-    placed = F.transform(
+
+
+def _placed() -> Column:
+    """The modification vector with the chosen sites filled in."""
+    filled = F.transform(
         F.col("mods"),
-        lambda m, i: F.coalesce(
-            F.get(F.filter("_chosen", lambda c: c["pos"] == i), F.lit(0))["delta"], m
-        ),
+        lambda m, i: F.coalesce(F.get(F.filter("_chosen", lambda c: c["pos"] == i), F.lit(0))["delta"], m),
     )
-    return exploded.withColumn("mods", F.when(F.size("_chosen") == 0, F.col("mods")).otherwise(placed)).drop("_chosen")
+    return F.when(F.size("_chosen") == 0, F.col("mods")).otherwise(filled)
+
+
+def explode_variable_mods(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
+    """One row per choice of at most ``max_variable`` modified sites.
+
+    A residue that carries a fixed modification takes no variable one.
+    """
+    choices = _choices(opts)
+    if choices is None:
+        return peptides
+    return peptides.withColumn("_chosen", F.explode_outer(choices)).withColumn("mods", _placed()).drop("_chosen")
 
 
 def merge_peptides(targets: DataFrame, decoys: DataFrame | None = None) -> DataFrame:
     """One row per sequence, protein names joined by ``;``; a target hides an equal decoy.
 
     Merging, duplicate elimination and the target-over-decoy rule share one
-    shuffle on the sequence, before modifications multiply the rows.
+    shuffle on the sequence, before modifications multiply the rows. ``targets``
+    may hold both kinds already, told apart by a ``decoy`` column.
     """
-    rows = targets.select("seq", "desc", F.lit(False).alias("decoy"))
+    flag = F.col("decoy") if "decoy" in targets.columns else F.lit(False)
+    rows = targets.select("seq", "desc", flag.alias("decoy"))
     if decoys is not None:
         rows = rows.unionByName(decoys.select("seq", "desc", F.lit(True).alias("decoy")))
     merged = rows.groupBy("seq").agg(
@@ -92,7 +101,7 @@ def merge_peptides(targets: DataFrame, decoys: DataFrame | None = None) -> DataF
         F.collect_list(F.when(F.col("decoy"), F.col("desc"))).alias("_d"),
     )
     names = F.when(F.col("decoy"), F.col("_d")).otherwise(F.col("_t"))
-    return merged.select("seq", F.array_join(F.array_sort(names), ";").alias("desc"), "decoy")
+    return merged.select("seq", F.array_join(F.sort_array(names), ";").alias("desc"), "decoy")
 
 
 def drop_colliding_decoys(decoys: DataFrame, targets: DataFrame) -> DataFrame:
@@ -101,12 +110,24 @@ def drop_colliding_decoys(decoys: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def modify(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
-    """Peptide rows to candidate rows: modifications, mass and its filter, identifiers."""
-    mass = chem.peptide_mass(F.col("seq"), F.col("mods"), opts.nterm, opts.cterm)
+    """Peptide rows to candidate rows: modifications, mass and its filter, identifiers.
+
+    The mass of a modified form is the peptide's, worked out once, and its
+    deltas, so forms outside the limits go before their vectors are built.
+    """
+    df = with_fixed_mods(peptides, opts)
+    whole = chem.total(chem.residue_masses(F.col("seq"), F.col("mods")))
+    df = df.withColumn("_base", whole + F.lit(chem.nano(opts.nterm) + chem.nano(opts.cterm)))
+    choices = _choices(opts)
+    none = F.array(F.array().cast("array<struct<pos:int,delta:double>>"))
+    df = df.withColumn("_chosen", F.explode_outer(none if choices is None else choices))
+    added = F.aggregate(
+        "_chosen", F.lit(0).cast("bigint"), lambda acc, c: acc + F.round(c["delta"] * 1e9).cast("bigint")
+    )
     return (
-        explode_variable_mods(with_fixed_mods(peptides, opts), opts)
-        .withColumn("mass", mass)
+        df.withColumn("mass", (F.col("_base") + added) / F.lit(1e9))
         .where(F.col("mass").between(opts.min_mass, opts.max_mass))
+        .withColumn("mods", _placed())
         .withColumn("modseq", chem.render_modseq(F.col("seq"), F.col("mods")))
         .select(
             chem.stable_id(F.col("modseq")).alias("cand_id"),
@@ -125,5 +146,5 @@ def modify(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFr
 
 def build_candidates(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
     """Proteins to the candidate table."""
-    decoys = digest_decoys(proteins, opts) if opts.decoys else None
-    return modify(merge_peptides(digest(proteins, opts), decoys), opts)
+    peptides = digest_both(proteins, opts) if opts.decoys else digest(proteins, opts)
+    return modify(merge_peptides(peptides), opts)

@@ -97,7 +97,10 @@ def _explode(df: DataFrame) -> DataFrame:
     # the outer form: before a plain explode Spark adds a filter on the array's size and
     # pushes it down to the scan, where the whole digestion would be computed once more
     return df.select(
-        "protein_id", F.split("desc", " ").getItem(0).alias("desc"), F.explode_outer("peptides").alias("seq")
+        "protein_id",
+        F.split("desc", " ").getItem(0).alias("desc"),
+        F.explode_outer("peptides").alias("seq"),
+        *[c for c in ("decoy",) if c in df.columns],
     ).where(F.col("seq").rlike(chem.ALPHABET_PATTERN))
 
 
@@ -114,26 +117,48 @@ def reverse_keep_last(pep: Column) -> Column:
     return F.concat(F.reverse(F.left(pep, F.length(pep) - 1)), F.right(pep, F.lit(1)))
 
 
-def digest_decoys(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
-    """Decoy peptides, by reversing or shuffling whole proteins or single fragments."""
+def _decoy_protein(opts: DigestOptions) -> Column:
+    """Sequence of a decoy protein; where fragments are turned instead, the protein's own."""
     if opts.decoy_method not in ("reverse", "shuffle") or opts.decoy_type not in ("protein", "peptide"):
         raise ValueError("decoys are made by reverse or shuffle, of protein or peptide")
-    named = proteins.withColumn("desc", F.concat(F.lit(opts.decoy_prefix), F.col("desc")))
-    if opts.decoy_type == "protein":
-        turned = (
-            F.reverse("seq")
-            if opts.decoy_method == "reverse"
-            else shuffle_letters(F.col("seq"), F.col("protein_id"), opts.seed)
-        )
-        return digest(named.withColumn("seq", turned), opts)
+    if opts.decoy_type == "peptide":
+        return F.col("seq")
+    if opts.decoy_method == "reverse":
+        return F.reverse("seq")
+    return shuffle_letters(F.col("seq"), F.col("protein_id"), opts.seed)
+
+
+def _decoy_fragments(opts: DigestOptions) -> Column:
+    """Fragments of a decoy protein, each turned about its last residue where the options say so."""
     base = fragments(F.col("seq"), opts)
+    if opts.decoy_type == "protein":
+        return base
     if opts.decoy_method == "reverse":
-        frags = F.transform(base, reverse_keep_last)
-    else:
-        frags = F.transform(
-            base,
-            lambda p: F.concat(
-                shuffle_letters(F.left(p, F.length(p) - 1), p, opts.seed), F.right(p, F.lit(1))
-            ),
-        )
-    return _explode(peptide_arrays(named, opts, frags))
+        return F.transform(base, reverse_keep_last)
+    return F.transform(
+        base,
+        lambda p: F.concat(shuffle_letters(F.left(p, F.length(p) - 1), p, opts.seed), F.right(p, F.lit(1))),
+    )
+
+
+def digest_decoys(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
+    """Decoy peptides, by reversing or shuffling whole proteins or single fragments."""
+    turned = proteins.withColumns(
+        {"desc": F.concat(F.lit(opts.decoy_prefix), F.col("desc")), "seq": _decoy_protein(opts)}
+    )
+    return _explode(peptide_arrays(turned, opts, _decoy_fragments(opts)))
+
+
+def digest_both(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
+    """Target and decoy peptides with a ``decoy`` flag, from one pass over the proteins."""
+    forms = F.array(
+        F.struct(F.col("desc"), F.col("seq"), F.lit(False).alias("decoy")),
+        F.struct(
+            F.concat(F.lit(opts.decoy_prefix), F.col("desc")).alias("desc"),
+            _decoy_protein(opts).alias("seq"),
+            F.lit(True).alias("decoy"),
+        ),
+    )
+    both = proteins.select("protein_id", F.inline_outer(forms))
+    frags = F.when(F.col("decoy"), _decoy_fragments(opts)).otherwise(fragments(F.col("seq"), opts))
+    return _explode(peptide_arrays(both, opts, frags if opts.decoy_type == "peptide" else None))
