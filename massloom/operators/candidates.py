@@ -19,11 +19,22 @@ def _deltas(listed: tuple[tuple[str, float], ...]) -> dict[str, list[float]]:
     return dict(out)
 
 
+def _fixed(opts: DigestOptions) -> dict[str, float]:
+    return {aa: sum(ds) for aa, ds in _deltas(opts.fixed_mods).items()}
+
+
+def _has_any(seq: Column, letters) -> Column:
+    return seq.rlike("[" + "".join(sorted(letters)) + "]")
+
+
 def fixed_mods(seq: Column, opts: DigestOptions = DigestOptions()) -> Column:
     """Modification vector of the fixed modifications: one delta per residue."""
-    fixed = {aa: sum(ds) for aa, ds in _deltas(opts.fixed_mods).items()}
+    fixed = _fixed(opts)
+    none = F.array_repeat(F.lit(0.0), F.length(seq))
+    if not fixed:
+        return none
     delta = chem.by_letter(fixed, default=0.0, cast="double")
-    return F.transform(chem.residues(seq), delta)
+    return F.when(_has_any(seq, fixed), F.transform(chem.residues(seq), delta)).otherwise(none)
 
 
 def with_fixed_mods(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
@@ -46,9 +57,10 @@ def _choices(opts: DigestOptions) -> Column | None:
         ),
         lambda s: s["deltas"].isNotNull() & (s["m"] == 0),
     )
-    return F.aggregate(
+    unmodified = F.array(F.array().cast("array<struct<pos:int,delta:double>>"))
+    subsets = F.aggregate(
         sites,
-        F.array(F.array().cast("array<struct<pos:int,delta:double>>")),
+        unmodified,
         lambda acc, s: F.concat(
             acc,
             F.flatten(
@@ -62,6 +74,7 @@ def _choices(opts: DigestOptions) -> Column | None:
             ),
         ),
     )
+    return F.when(_has_any(F.col("seq"), variable), subsets).otherwise(unmodified)
 
 
 def _placed() -> Column:
@@ -109,15 +122,27 @@ def drop_colliding_decoys(decoys: DataFrame, targets: DataFrame) -> DataFrame:
     return decoys.join(targets.select("seq", "mods"), ["seq", "mods"], "left_anti")
 
 
+def _fixed_modseq(seq: Column, opts: DigestOptions) -> Column:
+    """Modified sequence of a peptide with fixed modifications only."""
+    fixed = {aa: delta for aa, delta in _fixed(opts).items() if delta != 0}
+    if any(c.isalpha() for delta in fixed.values() for c in repr(float(delta))):
+        return chem.render_modseq(seq, F.col("mods"))  # letters in a number would be replaced too
+    for aa, delta in fixed.items():
+        seq = F.replace(seq, F.lit(aa), F.concat(F.lit(f"{aa}["), F.lit(float(delta)).cast("string"), F.lit("]")))
+    return seq
+
+
 def modify(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
     """Peptide rows to candidate rows: modifications, mass and its filter, identifiers.
 
     The mass of a modified form is the peptide's, worked out once, and its
     deltas, so forms outside the limits go before their vectors are built.
     """
-    df = with_fixed_mods(peptides, opts)
-    whole = chem.total(chem.residue_masses(F.col("seq"), F.col("mods")))
-    df = df.withColumn("_base", whole + F.lit(chem.nano(opts.nterm) + chem.nano(opts.cterm)))
+    fixed = _fixed(opts)
+    heavy = chem.by_letter({aa: m + chem.nano(fixed.get(aa, 0.0)) for aa, m in chem.RESIDUE_MASS.items()})
+    ends = F.lit(chem.nano(opts.nterm) + chem.nano(opts.cterm))
+    whole = F.aggregate(chem.residues(F.col("seq")), ends, lambda acc, aa: acc + heavy(aa))
+    df = with_fixed_mods(peptides, opts).withColumn("_base", whole)
     choices = _choices(opts)
     none = F.array(F.array().cast("array<struct<pos:int,delta:double>>"))
     df = df.withColumn("_chosen", F.explode_outer(none if choices is None else choices))
@@ -128,7 +153,12 @@ def modify(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFr
         df.withColumn("mass", (F.col("_base") + added) / F.lit(1e9))
         .where(F.col("mass").between(opts.min_mass, opts.max_mass))
         .withColumn("mods", _placed())
-        .withColumn("modseq", chem.render_modseq(F.col("seq"), F.col("mods")))
+        .withColumn(
+            "modseq",
+            F.when(F.size("_chosen") == 0, _fixed_modseq(F.col("seq"), opts)).otherwise(
+                chem.render_modseq(F.col("seq"), F.col("mods"))
+            ),
+        )
         .select(
             chem.stable_id(F.col("modseq")).alias("cand_id"),
             "desc",
