@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from massloom.operators.running import cumulate, suffix_min
 from massloom.operators.search import top_n
 from massloom.options import ReportOptions
+from massloom.sources.stages import materialize
 from massloom.sources.tables import finite
 
 
@@ -43,21 +44,51 @@ def with_fdr(psms: DataFrame, score: str = "score", decoy: str = "decoy", by=(),
 with_qvalue = with_fdr
 
 
-def with_fdr_in_order(psms: DataFrame, order: list[Column], score: str = "score", decoy: str = "decoy", by=()) -> DataFrame:
-    """FDR replaying a scan over a stated order: a tie that starts at a target keeps its first ratio.
+def with_fdr_in_order(psms: DataFrame, order: list[Column], score: str = "score", decoy: str = "decoy") -> DataFrame:
+    """FDR replaying a scan over a stated total order, ties and all.
 
-    For one group per key that fits a task; the tie-independent form is ``with_fdr``.
+    A target opens a run of equal scores; rows of the run count as targets and
+    keep the run's first ratio, until a decoy has closed it. Rows are dealt into
+    ordered parts, written once so that they stay put; what one part needs of
+    those before it is one row per part.
     """
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    new_run = F.coalesce(F.lag(score).over(w) != F.col(score), F.lit(True)) | F.coalesce(F.lag(decoy).over(w), F.lit(True))
-    df = psms.withColumn("_new", new_run.cast("int")).withColumn("_run", F.sum("_new").over(running))
-    # inside a run every row counts as a target, whatever it is
-    counted = F.when((F.col("_new") == 1) & F.col(decoy), 1).otherwise(0)
-    df = df.withColumn("_d", F.sum(counted).over(running)).withColumn("_n", F.count(F.lit(1)).over(running))
-    ratio = F.least(F.lit(1.0), F.col("_d") / F.greatest(F.col("_n") - F.col("_d"), F.lit(1)))
-    df = df.withColumn("_r", F.when(F.col("_new") == 1, ratio))
-    return df.withColumn("fdr", F.last("_r", ignorenulls=True).over(running)).drop("_new", "_run", "_d", "_n", "_r")
+    dealt = materialize(psms.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    parts_before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(table: DataFrame, **what: Column) -> DataFrame:
+        """Per part, the last values of ``what`` and how they reach the next part."""
+        back = Window.partitionBy("_part").orderBy(F.desc("_place"))
+        last = table.withColumn("_back", F.row_number().over(back)).where(F.col("_back") == 1)
+        return last.select("_part", *[c.alias(n) for n, c in what.items()])
+
+    rows = dealt.withColumn("_place", F.row_number().over(inside))
+    ends = carried(rows, _last_score=F.col(score), _last_decoy=F.col(decoy))
+    ends = ends.select(
+        "_part",
+        F.last("_last_score").over(parts_before).alias("_last_score"),
+        F.last("_last_decoy").over(parts_before).alias("_last_decoy"),
+    )
+    rows = rows.join(F.broadcast(ends), "_part")
+    first = F.col("_place") == 1
+    before_score = F.when(first, F.col("_last_score")).otherwise(F.lag(score).over(inside))
+    before_decoy = F.when(first, F.col("_last_decoy")).otherwise(F.lag(decoy).over(inside))
+    opens = F.coalesce(before_score != F.col(score), F.lit(True)) | F.coalesce(before_decoy, F.lit(True))
+    rows = rows.withColumn("_opens", opens)
+    rows = rows.withColumn("_decoys", F.sum((F.col("_opens") & F.col(decoy)).cast("int")).over(running))
+
+    sums = carried(rows, _d=F.col("_decoys"), _n=F.col("_place"))
+    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(parts_before), F.lit(0)).alias(c) for c in ("_d", "_n")])
+    n_decoys = F.col("_decoys") + F.col("_d")
+    ratio = F.least(F.lit(1.0), n_decoys / F.greatest(F.col("_place") + F.col("_n") - n_decoys, F.lit(1)))
+    rows = rows.join(F.broadcast(sums), "_part").withColumn("_ratio", F.when(F.col("_opens"), ratio))
+    rows = rows.withColumn("_ratio", F.last("_ratio", ignorenulls=True).over(running))
+
+    runs = carried(rows, _run=F.col("_ratio"))
+    runs = runs.select("_part", F.last("_run", ignorenulls=True).over(parts_before).alias("_run"))
+    out = rows.join(F.broadcast(runs), "_part").withColumn("fdr", F.coalesce("_ratio", "_run"))
+    return out.select(*psms.columns, "fdr")
 
 
 def reported(psms: DataFrame, opts: ReportOptions = ReportOptions(), ties: tuple[str, ...] = ("psm_id",)) -> DataFrame:

@@ -66,8 +66,10 @@ def test_reference_tie_scan(spark):
             i += 1
             want[ordered[i][0]] = ratio
         i += 1
-    got = fdr.with_fdr_in_order(table(spark, rows), [F.desc("score"), F.asc("psm_id")]).collect()
+    order = [F.desc("score"), F.asc("psm_id")]
+    got = fdr.with_fdr_in_order(table(spark, rows), order).collect()
     assert {r["psm_id"]: r["fdr"] for r in got} == pytest.approx(want)
+    assert got and all(set(r.asDict()) == {"psm_id", "title", "score", "decoy", "fdr"} for r in got)
 
 
 def test_percentiles(spark):
