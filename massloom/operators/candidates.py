@@ -97,24 +97,39 @@ def explode_variable_mods(peptides: DataFrame, opts: DigestOptions = DigestOptio
     return peptides.withColumn("_chosen", F.explode_outer(choices)).withColumn("mods", _placed()).drop("_chosen")
 
 
-def merge_peptides(targets: DataFrame, decoys: DataFrame | None = None) -> DataFrame:
+def peptide_proteins(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
+    """Every peptide with every protein it is cut from: ``(protein_id, desc, seq, decoy)``."""
+    if opts.decoys:
+        return digest_both(proteins, opts)
+    return digest(proteins, opts).withColumn("decoy", F.lit(False))
+
+
+def merge_peptides(targets: DataFrame, decoys: DataFrame | None = None, names: str = "merged") -> DataFrame:
     """One row per sequence, protein names joined by ``;``; a target hides an equal decoy.
 
     Merging, duplicate elimination and the target-over-decoy rule share one
     shuffle on the sequence, before modifications multiply the rows. ``targets``
-    may hold both kinds already, told apart by a ``decoy`` column.
+    may hold both kinds already, told apart by a ``decoy`` column. With names
+    ``first`` only the smallest name stays, and a peptide that very many proteins
+    share shrinks to one row per task before the shuffle.
     """
+    if names not in ("merged", "first"):
+        raise ValueError("names is merged or first")
     flag = F.col("decoy") if "decoy" in targets.columns else F.lit(False)
     rows = targets.select("seq", "desc", flag.alias("decoy"))
     if decoys is not None:
         rows = rows.unionByName(decoys.select("seq", "desc", F.lit(True).alias("decoy")))
+    if names == "first":
+        # false sorts before true, so a target's name comes first
+        first = rows.groupBy("seq").agg(F.min(F.struct("decoy", "desc")).alias("_f"))
+        return first.select("seq", "_f.desc", "_f.decoy")
     merged = rows.groupBy("seq").agg(
         F.min("decoy").alias("decoy"),
         F.collect_list(F.when(~F.col("decoy"), F.col("desc"))).alias("_t"),
         F.collect_list(F.when(F.col("decoy"), F.col("desc"))).alias("_d"),
     )
-    names = F.when(F.col("decoy"), F.col("_d")).otherwise(F.col("_t"))
-    return merged.select("seq", F.array_join(F.sort_array(names), ";").alias("desc"), "decoy")
+    kept = F.when(F.col("decoy"), F.col("_d")).otherwise(F.col("_t"))
+    return merged.select("seq", F.array_join(F.sort_array(kept), ";").alias("desc"), "decoy")
 
 
 def drop_colliding_decoys(decoys: DataFrame, targets: DataFrame) -> DataFrame:
@@ -176,5 +191,4 @@ def modify(peptides: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFr
 
 def build_candidates(proteins: DataFrame, opts: DigestOptions = DigestOptions()) -> DataFrame:
     """Proteins to the candidate table."""
-    peptides = digest_both(proteins, opts) if opts.decoys else digest(proteins, opts)
-    return modify(merge_peptides(peptides), opts)
+    return modify(merge_peptides(peptide_proteins(proteins, opts), names=opts.names), opts)

@@ -32,6 +32,7 @@ class DigestOptions:
     decoy_method: str = "reverse"  # or "shuffle"
     decoy_type: str = "protein"  # or "peptide"
     seed: int = 0
+    names: str = "merged"  # or "first": one protein name per peptide, the rest in peptide_proteins
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ counts and checksums per group; the work behind them is not.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +30,8 @@ from massloom.options import (
     DigestOptions,
     HyperscoreOptions,
     IonOptions,
-    PinOptions,
     QueryOptions,
+    ReportOptions,
     SearchOptions,
     XcorrOptions,
 )
@@ -69,8 +71,6 @@ def micro(value: Column, scale: float = 1e6) -> Column:
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -386,6 +386,22 @@ def candidate_table(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT seq, min(descr) FILTER (NOT decoy OR alone) AS descr, alone AS decoy, count(*) AS n_proteins
+        FROM (SELECT *, bool_and(decoy) OVER (PARTITION BY seq) AS alone
+              FROM (SELECT seq, descr, false AS decoy FROM peps UNION ALL SELECT seq, descr, true FROM dpeps))
+        GROUP BY seq, alone"""
+    )
+)
+def candidate_first_names(spark, sf_dir):
+    """One name per peptide, with the full relation beside it."""
+    relation = cand.peptide_proteins(fx.proteins(spark, sf_dir))
+    merged = cand.merge_peptides(relation, names="first")
+    counts = relation.groupBy("seq").agg(F.count(F.lit(1)).alias("n_proteins"))
+    return merged.join(counts, "seq").select("seq", F.col("desc").alias("descr"), "decoy", "n_proteins")
+
+
 # ---------------------------------------------------------------- spectra
 
 
@@ -530,7 +546,7 @@ _R, _KNEE = 20e-6, 0.001 / 20e-6
             SELECT query_id, bin, max(bin) OVER (PARTITION BY query_id) + 76 AS n_bins FROM (
                 SELECT query_id, (CASE WHEN mz < {_KNEE!r}::DOUBLE THEN floor(mz / 0.001e0)
                     ELSE {int(_KNEE / 0.001)} + floor(ln(greatest(mz, {_KNEE!r}::DOUBLE) / {_KNEE!r}::DOUBLE)
-                        / {-__import__("math").log1p(-_R)!r}::DOUBLE) END)::INTEGER AS bin
+                        / {-math.log1p(-_R)!r}::DOUBLE) END)::INTEGER AS bin
                 FROM spectra JOIN peaks USING (query_id))) GROUP BY 1, 2"""
     )
 )
@@ -743,6 +759,22 @@ def qvalues(spark, sf_dir):
     return rows.select("psm_id", F.round("fdr", 9).alias("fdr"), F.round("q", 9).alias("q"))
 
 
+@query(
+    sql(
+        """SELECT psm_id, round(last_value(ratio IGNORE NULLS) OVER (ORDER BY score DESC, psm_id ROWS UNBOUNDED PRECEDING), 9) AS fdr
+        FROM (SELECT *, CASE WHEN opens THEN least(1e0, d / greatest(n - d, 1)) END AS ratio FROM (
+            SELECT *, count(*) FILTER (opens AND decoy) OVER w AS d, count(*) OVER w AS n FROM (
+                SELECT *, coalesce(lag(score) OVER v <> score, true) OR coalesce(lag(decoy) OVER v, true) AS opens
+                FROM ev_psms WINDOW v AS (ORDER BY score DESC, psm_id))
+            WINDOW w AS (ORDER BY score DESC, psm_id ROWS UNBOUNDED PRECEDING)))"""
+    )
+)
+def fdr_tie_scan(spark, sf_dir):
+    order = [F.desc("score"), F.asc("psm_id")]
+    rows = fdr_ops.with_fdr_in_order(fx.event_psms(spark, sf_dir), order)
+    return rows.select("psm_id", F.round("fdr", 9).alias("fdr"))
+
+
 @query(sql("SELECT round(q, 9) AS q, n::BIGINT AS n FROM curve"))
 def fdr_curve(spark, sf_dir):
     curve = fdr_ops.fdr_curve(fdr_ops.score_table(_top1(spark, sf_dir)))
@@ -761,8 +793,6 @@ _SUMMARY = """SELECT count(*) AS n_psms, count(DISTINCT title) AS n_spectra,
 
 @query(sql(_SUMMARY.format(levels="lv_top", rows="top1")))
 def fdr_summary(spark, sf_dir):
-    from massloom.options import ReportOptions
-
     rows = fdr_ops.fdr_summary(_top1(spark, sf_dir), ReportOptions(fdr=_LIMIT))
     return rows.withColumn("overall_fdr", F.round("overall_fdr", 9))
 
@@ -861,8 +891,6 @@ _FALSE = """SELECT * REPLACE (modseq <> truth AS decoy) FROM top1 JOIN (
 
 @query(sql(_SUMMARY.format(levels="lv_false", rows="false1"), false1=_FALSE, lv_false=o.levels("false1")))
 def fdp_report(spark, sf_dir):
-    from massloom.options import ReportOptions
-
     psms = fx.event_psms(spark, sf_dir)
     # the best match that is no click counts as the truth
     titles = search_ops.top_n(psms.where(~F.col("seq").like("click%")), 1, "title", ("psm_id",))
@@ -1063,6 +1091,55 @@ def peptide_split(spark, sf_dir):
     return learned.length_ranges(rows)
 
 
+@query(
+    sql(
+        f"""SELECT query_id, seq FROM (SELECT protein_id AS query_id, seq, {_SPLIT} AS split FROM picked) WHERE split = 'train'
+        ORDER BY {o._stable_id("concat('7|', query_id)")}, query_id LIMIT 100"""
+    )
+)
+def split_sample(spark, sf_dir):
+    """The capped random sample a training split is cut to."""
+    rows = fx.planted(spark, sf_dir).select("query_id", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")).alias("seq"))
+    rows = rows.withColumn("split", learned.split_of(F.col("seq")))
+    return learned.sample_split(rows, "train", 100, seed=7).select("query_id", "seq")
+
+
+@query(
+    sql(
+        """SELECT modseq, z, bin, round(p, 6) AS intensity FROM (
+            SELECT modseq, z::INTEGER AS z, i::INTEGER AS bin, (i + 1) * 1e0 / (length(seq) + z * i) AS p
+            FROM (SELECT DISTINCT seq, replace(seq, 'C', 'C[57.0215]') AS modseq FROM picked),
+                (SELECT unnest([1, 2]) AS z), (SELECT unnest(range(0, 30)) AS i))
+        QUALIFY row_number() OVER (PARTITION BY modseq, z ORDER BY p DESC, bin) <= 5"""
+    )
+)
+def predicted_spectra(spark, sf_dir):
+    """Predictions of a batch function for every candidate, cut to the largest peaks."""
+
+    def predict(batches):
+        import numpy as np
+        import pandas as pd
+
+        z, i = (a.ravel() for a in np.meshgrid([1, 2], np.arange(30), indexing="ij"))
+        for pdf in batches:
+            n = pdf["seq"].str.len().to_numpy()[:, None]
+            yield pd.DataFrame(
+                {
+                    "modseq": np.repeat(pdf["modseq"].to_numpy(), len(z)),
+                    "z": np.tile(z, len(pdf)).astype("int32"),
+                    "bin": np.tile(i, len(pdf)).astype("int32"),
+                    "intensity": ((i + 1) / (n + z * i)).ravel(),
+                }
+            )
+
+    seqs = fx.planted(spark, sf_dir).select(F.replace("truth", F.lit("C[57.0215]"), F.lit("C")).alias("seq")).distinct()
+    cands = cand.with_fixed_mods(seqs, PLAIN).withColumns(
+        {"modseq": chem.render_modseq(F.col("seq"), F.col("mods")), "mass": F.lit(0.0)}
+    )
+    best = learned.top_predicted(learned.with_predicted_spectra(cands, predict), 5)
+    return best.select("modseq", "z", "bin", F.round("intensity", 6).alias("intensity"))
+
+
 @query(
     sql(
         """SELECT length, n, round(n / sum(n) OVER (), 9) AS prior, round(1 / (35 * (n / sum(n) OVER ())), 6) AS weight
@@ -1077,13 +1154,13 @@ def length_class_weights(spark, sf_dir):
 
 @query(
     sql(
-        """SELECT seq, 861 + 41 + 41 AS cells, 40::BIGINT AS hot, round(41 * mass / 5000, 3) AS mass_sum,
+        """SELECT seq, 943 AS cells, 40::BIGINT AS hot, round(41 * mass / 5000, 3) AS mass_sum,
         round(57.021e0 * (length(seq) - length(replace(seq, 'C', ''))), 3) AS mod_sum FROM (
             SELECT seq, (list_sum([CASE seq[i] """
         + " ".join(f"WHEN '{a}' THEN {m + (57_021_000_000 if a == 'C' else 0)}" for a, m in chem.RESIDUE_MASS.items() if a != "_")
         + f""" END for i in range(1, length(seq) + 1)])::BIGINT + {o._TERMS}) / 1e9 AS mass FROM planted_seq)""",
         planted_seq="SELECT DISTINCT seq FROM picked WHERE length(seq) < 40",
-    ).replace("861 + 41 + 41 AS cells", "943 AS cells")
+    )
 )
 def peptide_embedding(spark, sf_dir):
     rows = fx.planted(spark, sf_dir).select("query_id", "charge", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")).alias("seq"))
@@ -1122,7 +1199,6 @@ def length_classifier(spark, sf_dir):
 @query()
 def stage_resume(spark, sf_dir):
     """Search once, then report again from the stored stages with another limit."""
-    from massloom.options import ReportOptions
     from massloom.plans.run import RunOptions, run_stages
 
     path = _fresh(spark, "run")
