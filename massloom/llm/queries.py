@@ -50,3 +50,51 @@ def op1_minhash(spark, sf_dir):
     from massloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from massloom.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
+@query()
+def op5_sharding(spark, sf_dir):
+    from massloom.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"), shards=8)
+
+
+OP6_SQL = r"""
+WITH cut AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+    FROM pages),
+rules(h, p, action) AS (VALUES
+    ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, max_by(h || p, length(h || p)) AS rule,
+    coalesce(max_by(action, length(h || p)), 'allow') AS verdict
+FROM cut LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id
+"""
+
+
+@query(OP6_SQL)
+def op6_urls(spark, sf_dir):
+    from massloom.llm.urls import UrlRule, judge_urls
+
+    rules = [
+        UrlRule("org", "/", "allow"),
+        UrlRule("example.org", "/es/", "block"),
+        UrlRule("example.org", "/en/1", "block"),
+        UrlRule("com", "/fr/", "allow"),
+        UrlRule("com", "/de/", "block"),
+    ]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
