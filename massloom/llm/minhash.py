@@ -5,8 +5,9 @@ second, circularly shifted by k, ranks them for coordinate k. In a table of the
 shingle for all shifts are neighbours, so a signature is the minimum over rows of that table.
 
 Texts with equal shingle sets form a class. Classes meet in buckets of equal bands. A bucket never emits all its
-pairs: every class meets one hub of the bucket per round, confirmed links join components, and what is left, pairs in
-one bucket but in different components, is confirmed pair by pair. No candidate is dropped.
+pairs: in every round each class meets one hub of the bucket, and confirmed links join components. Classes of buckets
+that still hold several components then meet over their rarest shingles, which rules out most pairs of a large group
+and no link. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.llm.graph import components
@@ -133,6 +134,37 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that more than one component meets in; the others have nothing left to find."""
+    members = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    members = members.withColumn("root", F.coalesce("root", "rep"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return members.join(mixed.select("key"), "key")
+
+
+def _possible(rest: DataFrame, sets: DataFrame, opts: NearOptions) -> DataFrame:
+    """Pairs of different components in ``rest`` (rep, root, n) that could still be links; none that is one is left out.
+
+    Shingles are ordered by rarity. A link shares a shingle among the rarest few of both sets, and from there on
+    enough shingles are left in both to reach the similarity. Edited copies of one text begin with shingles of their
+    own, so the pairs of a large group are ruled out before they are formed.
+    """
+    tokens = sets.join(rest, "rep").select("rep", "root", "n", F.explode("members").alias("token"))
+    tokens = materialize(tokens)
+    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "token")
+    placed = tokens.join(rarity, "token").withColumn("at", F.row_number().over(order))
+    # at least ceil(percent * n / 100) shingles are common, so one is among the first n - that + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * opts.percent / F.lit(100)) + 1
+    first = materialize(placed.where((F.col("at") <= prefix) & (F.col("df") > 1)).drop("df"))
+    other = first.toDF("token", "rep2", "root2", "n2", "at2")
+    needed = F.ceil((F.col("n") + F.col("n2")) * opts.percent / F.lit(100 + opts.percent))
+    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
+    could = (F.col("root") < F.col("root2")) & _long_enough(F.col("n"), F.col("n2"), opts) & (left >= needed)
+    met = first.join(other, (first["token"] == other["token"]) & could)
+    return met.select(*_ordered(F.col("rep"), F.col("rep2"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -149,40 +181,32 @@ def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataF
         .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
     )
     buckets = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = materialize(buckets.join(met, "key"))
+    met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = buckets.join(met, "key")
+    # the text that others were copied from meets more of them than they meet each other
+    central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
+    shared = materialize(shared.drop("c").join(central, "rep"))
     wanted = docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = materialize(shingle_sets(wanted, opts))
 
     tested = links = labels = None
-    for step in range(opts.hub_rounds + 1):
-        if labels is None:
-            members = shared.withColumn("root", F.col("rep"))
-        else:
-            # buckets inside one component have nothing left to find
-            members = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            members = members.withColumn("root", F.coalesce("root", "rep"))
-            mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-            members = materialize(members.join(mixed.select("key"), "key"))
-        if step < opts.hub_rounds:
-            order = F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "root", "n")
-            hubs = members.groupBy("key").agg(F.min(order).alias("hub"))
-            met = members.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
-            met = met.where(_long_enough(F.col("n"), F.col("hub.n"), opts))
-            pairs = met.select(*_ordered(F.col("rep"), F.col("hub.rep")))
-        else:
-            roots = members.select("key", "root").distinct()
-            apart = roots.join(roots.withColumnRenamed("root", "other"), "key").where("root < other")
-            mine = members.select("key", "root", "rep", "n")
-            theirs = mine.toDF("key", "other", "rep2", "n2")
-            met = apart.join(mine, ["key", "root"]).join(theirs, ["key", "other"])
-            pairs = met.where(_long_enough(F.col("n"), F.col("n2"), opts)).select(*_ordered(F.col("rep"), F.col("rep2")))
-        pairs = pairs.where("a < b").distinct()
+    members = shared.withColumn("root", F.col("rep"))
+    for step in range(opts.hub_rounds):
+        preferred = -F.col("central") if step == 0 else F.xxhash64("rep", F.lit(step))
+        hubs = members.groupBy("key").agg(F.min(F.struct(preferred.alias("h"), "rep", "root", "n")).alias("hub"))
+        met = members.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+        met = met.where(_long_enough(F.col("n"), F.col("hub.n"), opts))
+        pairs = met.select(*_ordered(F.col("rep"), F.col("hub.rep"))).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = materialize(_confirm(pairs, sets, opts))
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links)
+        members = materialize(_unsettled(shared, labels))
+    rest = members.select("rep", "root", "n").distinct()
+    pairs = _possible(rest, sets, opts)
+    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    labels = components(links.union(materialize(_confirm(pairs, sets, opts))))
 
     by_class = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("fp", F.coalesce("root", "rep").alias("of_class"))
