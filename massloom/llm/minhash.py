@@ -149,14 +149,18 @@ def _possible(rest: DataFrame, sets: DataFrame, opts: NearOptions) -> DataFrame:
     enough shingles are left in both to reach the similarity. Edited copies of one text begin with shingles of their
     own, so the pairs of a large group are ruled out before they are formed.
     """
-    tokens = sets.join(rest, "rep").select("rep", "root", "n", F.explode("members").alias("token"))
-    tokens = materialize(tokens)
-    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "token")
-    placed = tokens.join(rarity, "token").withColumn("at", F.row_number().over(order))
+    tokens = sets.join(rest, "rep", "left_semi").select("rep", F.explode("members").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(rarity, "token")
+    own = Window.partitionBy("rep")
+    placed = shared.select(
+        "rep", "token", F.row_number().over(own.orderBy("df", "token")).alias("rank"), F.count(F.lit(1)).over(own).alias("c")
+    )
+    # shingles of one set only come first and need no rows
+    placed = placed.join(rest, "rep").withColumn("at", F.col("n") - F.col("c") + F.col("rank"))
     # at least ceil(percent * n / 100) shingles are common, so one is among the first n - that + 1
     prefix = F.col("n") - F.ceil(F.col("n") * opts.percent / F.lit(100)) + 1
-    first = materialize(placed.where((F.col("at") <= prefix) & (F.col("df") > 1)).drop("df"))
+    first = materialize(placed.where(F.col("at") <= prefix).select("token", "rep", "root", "n", "at"))
     other = first.toDF("token", "rep2", "root2", "n2", "at2")
     needed = F.ceil((F.col("n") + F.col("n2")) * opts.percent / F.lit(100 + opts.percent))
     left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
@@ -196,7 +200,9 @@ def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataF
         hubs = members.groupBy("key").agg(F.min(F.struct(preferred.alias("h"), "rep", "root", "n")).alias("hub"))
         met = members.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
         met = met.where(_long_enough(F.col("n"), F.col("hub.n"), opts))
-        pairs = met.select(*_ordered(F.col("rep"), F.col("hub.rep"))).distinct()
+        # one hub for each class and round: the first of those its buckets offer
+        chosen = met.groupBy("rep").agg(F.min("hub").alias("hub"))
+        pairs = chosen.select(*_ordered(F.col("rep"), F.col("hub.rep"))).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = materialize(_confirm(pairs, sets, opts))
         tested = pairs if tested is None else tested.union(pairs)
