@@ -140,3 +140,17 @@ def op4_quality(spark, sf_dir):
     from massloom.llm.quality import judge_quality
 
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    from massloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_leaks(spark, sf_dir):
+    from massloom.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
