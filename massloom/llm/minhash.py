@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataF
     # the text that others were copied from meets more of them than they meet each other
     central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
     shared = materialize(shared.drop("c").join(central, "rep"))
-    wanted = docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the same plan at every size: the ids grow with the documents and are not broadcast
+    met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    wanted = docs.join(met, "doc_id", "left_semi")
     sets = materialize(shingle_sets(wanted, opts))
 
     tested = links = labels = None
