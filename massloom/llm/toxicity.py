@@ -36,9 +36,11 @@ class ToxicOptions:
     """``lexicon`` and ``beginnings`` are the numbers of voters of each kind.
 
     A voter fires in at least ``least`` toxic texts and in a ``support`` share of them, which a group of copies of one
-    text does not reach. Voters correlated above ``alike`` say the same and share their weight.
+    text does not reach. Voters correlated above ``alike`` say the same and share their weight. Voters are looked for
+    in at most ``sample`` different labelled texts, those with the smallest hashes; rates and the classifier use all.
     """
 
+    sample: int = 50_000
     lexicon: int = 128
     beginnings: int = 64
     lengths: tuple[int, ...] = (3, 4, 5, 6)
@@ -69,13 +71,15 @@ def find_voters(docs: DataFrame, labels: DataFrame, opts: ToxicOptions) -> Voter
     train = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = train.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
-    once = materialize(marked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).drop("h"))
+    once = marked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    once = materialize(once.orderBy("h", "doc_id").limit(opts.sample).drop("h"))
     total = once.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     if not total["toxic"] or not total["clean"]:
         return Voters((), ())
     between = "[\\x20\\x09-\\x0D" + "".join("\\" + c for c in PUNCTUATION) + "]+"
     words = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), between))
-    seen = train.select("doc_id", "text").join(once, "doc_id").select("toxic", F.explode(words).alias("word"))
+    # at most ``sample`` rows of an id and a label
+    seen = train.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("toxic", F.explode(words).alias("word"))
     counts = seen.where("word != ''").groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")
     )
