@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# entries a worker remembers of pieces and of pairs: time saved only, any size gives the same tokens
-REMEMBERED = 1 << 18
+# entries a worker remembers of pairs and, twice that, of pieces: time saved only, any size gives the same tokens
+REMEMBERED = 1 << 19
 
 
 class Vocabulary:
@@ -34,8 +35,10 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
         self._splits: dict[bytes, tuple[bytes, bytes]] = {}
-        self._stable: dict[int, bool] = {}
+        self.known_pairs: dict[int, bool] = {}
+        # two generations: once the newer one is full, it becomes the older one
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two tokens whose merge made this one."""
@@ -59,11 +62,11 @@ class Vocabulary:
         merges the one further left comes first.
         """
         key = left << 32 | right
-        known = self._stable.get(key)
+        known = self.known_pairs.get(key)
         if known is None:
-            if len(self._stable) >= REMEMBERED:
-                self._stable.clear()
-            known = self._stable[key] = self._check(self.token_bytes[left], self.token_bytes[right])
+            if len(self.known_pairs) >= REMEMBERED:
+                self.known_pairs.clear()
+            known = self.known_pairs[key] = self._check(self.token_bytes[left], self.token_bytes[right])
         return known
 
     def _check(self, x: bytes, y: bytes) -> bool:
@@ -90,13 +93,15 @@ class Vocabulary:
         """Ids of one match of the pattern, little-endian, four bytes each."""
         known = self._pieces.get(text)
         if known is None:
-            raw = text.encode()
-            whole = self.ranks.get(raw)
-            ids = [whole] if whole is not None else Prefixes(self, raw).tokens()
-            known = b"".join(i.to_bytes(4, "little") for i in ids)
-            if len(raw) <= 64:
+            known = self._older.get(text)
+            if known is None:
+                raw = text.encode()
+                whole = self.ranks.get(raw)
+                ids = [whole] if whole is not None else Prefixes(self, raw).tokens()
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            if len(known) <= 64:
                 if len(self._pieces) >= REMEMBERED:
-                    self._pieces.clear()
+                    self._older, self._pieces = self._pieces, {}
                 self._pieces[text] = known
         return known
 
@@ -116,20 +121,29 @@ class Prefixes:
         self.last = [-1]
         self.append(data)
 
-    def _last_of(self, end: int) -> int:
-        ranks, data, last, stable = self.vocab.ranks, self.data, self.last, self.vocab.stable
-        for start in range(max(0, end - self.vocab.longest), end):
-            token = ranks.get(data[start:end])
-            if token is not None and (start == 0 or stable(last[start], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _fill(self, stop: int) -> None:
+        """Store the last tokens of all prefixes up to ``stop`` bytes."""
+        get, known, check, longest = self.vocab.ranks.get, self.vocab.known_pairs, self.vocab.stable, self.vocab.longest
+        data, last = self.data, self.last
+        for end in range(len(last), stop + 1):
+            # exactly one token fits, so the order does not matter; most are short
+            for start in range(end - 1, end - longest - 1 if end > longest else -1, -1):
+                token = get(data[start:end])
+                if token is not None:
+                    if start == 0:
+                        break
+                    before = last[start]
+                    fits = known.get(before << 32 | token)
+                    if fits or fits is None and check(before, token):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         """Grow the text at its end; stored prefixes stay."""
-        old = len(self.data)
         self.data += more
-        for end in range(old + 1, len(self.data) + 1):
-            self.last.append(self._last_of(end))
+        self._fill(len(self.data))
 
     def replace(self, start: int, stop: int, by: bytes) -> None:
         """Edit bytes ``start:stop``; only prefixes near the edit are worked out anew.
@@ -142,8 +156,8 @@ class Prefixes:
         self.last = old[: start + 1]
         agreed = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self._last_of(end)
-            self.last.append(token)
+            self._fill(end)
+            token = self.last[end]
             past = end - len(by) - start
             agreed = agreed + 1 if past > 0 and old[end - shift] == token else 0
             if agreed >= self.vocab.longest:
