@@ -154,3 +154,10 @@ def op10_leaks(spark, sf_dir):
     from massloom.llm.leaks import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_lm(spark, sf_dir):
+    from massloom.llm.lm import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents"))
