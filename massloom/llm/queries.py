@@ -161,3 +161,10 @@ def op8_lm(spark, sf_dir):
     from massloom.llm.lm import score_held_out
 
     return score_held_out(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_lines(spark, sf_dir):
+    from massloom.llm.lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
