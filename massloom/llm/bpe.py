@@ -222,8 +222,12 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes after decoding)."""
+def digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes after decoding).
+
+    With ``keep_ids`` the ids follow.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load(path, pattern)
@@ -233,15 +237,13 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 lists = part.column(1)
                 own = [lists[i].values if lists[i].is_valid else None for i in range(len(lists))]
                 ids = [v.to_numpy() if v is not None else () for v in own]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i.astype("<u4").tobytes() if len(i) else b"").hexdigest() for i in ids]),
-                        pa.array([hashlib.sha256(vocab.decode(i.tolist() if len(i) else ())).hexdigest() for i in ids]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                columns = [
+                    part.column(0),
+                    pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i.astype("<u4").tobytes() if len(i) else b"").hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(vocab.decode(i.tolist() if len(i) else ())).hexdigest() for i in ids]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [lists] * keep_ids, names=names)
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return encoded.select("doc_id", "ids").mapInArrow(run, kinds)

@@ -118,42 +118,49 @@ class _Lookup:
         return maybe[true], self.place[at[true]]
 
 
-def cast_votes(docs: DataFrame, voters: Voters) -> DataFrame:
-    """doc_id and votes: the numbers of the voters that fire on the whole text, ascending. Null is empty."""
+class _Caster:
+    """The voters that fire on each of a run of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lookup(voters.words, 0)
+    def __init__(self, voters: Voters):
+        self.n_words = len(voters.words)
+        self.fixed = self.n_words + len(voters.beginnings)
+        self.lexicon = _Lookup(voters.words, 0)
         by_length: dict[int, list[int]] = {}
         for i, b in enumerate(voters.beginnings):
             by_length.setdefault(len(b.encode()), []).append(i)
-        begun = {
-            n: (np.array(own), _Lookup([voters.beginnings[i] for i in own], 0)) for n, own in by_length.items()
-        }
-        n_words, fixed = len(voters.words), len(voters.words) + len(voters.beginnings)
+        self.begun = {n: (np.array(own), _Lookup([voters.beginnings[i] for i in own], 0)) for n, own in by_length.items()}
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and voter of every vote, each once, in order."""
+        starts, ends, first = word_spans(data, at, BETWEEN)
+        hashed = Hashes(data)
+        fired = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if self.n_words:
+            fired.append(self.lexicon(hashed(starts, ends)))
+        for n, (own, known) in self.begun.items():
+            long = np.flatnonzero(ends - starts >= n)
+            word, voter = known(hashed(starts[long], starts[long] + n))
+            fired.append((long[word], self.n_words + own[voter]))
+        word, voter = (np.concatenate(x) for x in zip(*fired))
+        doc = np.searchsorted(first, word, "right") - 1
+        capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+        marks = np.concatenate([[0], np.cumsum(data == ord("!"))])
+        size = np.maximum(np.diff(at), 1)
+        for k, loud in enumerate((np.diff(capitals[at]) / size > 0.3, np.diff(marks[at]) / size > 0.02)):
+            doc = np.append(doc, np.flatnonzero(loud))
+            voter = np.append(voter, np.full(int(loud.sum()), self.fixed + k))
+        return np.divmod(np.unique(doc * (self.fixed + len(FIXED)) + voter), self.fixed + len(FIXED))
+
+
+def cast_votes(docs: DataFrame, voters: Voters) -> DataFrame:
+    """doc_id and votes: the numbers of the voters that fire on the whole text, ascending. Null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caster = _Caster(voters)
         for batch in batches:
             for rows, data, at in chunks(batch.column(1)):
-                starts, ends, first = word_spans(data, at, BETWEEN)
-                hashed = Hashes(data)
-                fired = []
-                if n_words:
-                    fired.append(lexicon(hashed(starts, ends)))
-                for n, (own, known) in begun.items():
-                    long = np.flatnonzero(ends - starts >= n)
-                    word, voter = known(hashed(starts[long], starts[long] + n))
-                    fired.append((long[word], n_words + own[voter]))
-                n_docs = len(at) - 1
-                word = np.concatenate([w for w, _ in fired] or [np.zeros(0, np.int64)])
-                voter = np.concatenate([v for _, v in fired] or [np.zeros(0, np.int64)])
-                doc = np.searchsorted(first, word, "right") - 1
-                capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-                marks = np.concatenate([[0], np.cumsum(data == ord("!"))])
-                size = np.maximum(np.diff(at), 1)
-                for k, loud in enumerate((np.diff(capitals[at]) / size > 0.3, np.diff(marks[at]) / size > 0.02)):
-                    doc = np.append(doc, np.flatnonzero(loud))
-                    voter = np.append(voter, np.full(int(loud.sum()), fixed + k))
-                pairs = np.unique(doc * (fixed + len(FIXED)) + voter)
-                doc, voter = np.divmod(pairs, fixed + len(FIXED))
-                votes = list_array(voter, np.bincount(doc, minlength=n_docs), pa.int32())
+                doc, voter = caster(data, at)
+                votes = list_array(voter, np.bincount(doc, minlength=len(at) - 1), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], votes], names=["doc_id", "votes"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -242,21 +249,24 @@ def _shares(patterns: DataFrame, model: LabelModel, voters: int, opts: ToxicOpti
     return tuple(1 / (1 + s) for s in sums)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+@dataclass(frozen=True)
+class Classifier:
+    """Voters and the weights of their votes. Without voters every text scores 0."""
 
-    Labels (doc_id, toxic) of held-out rows are never read, and nothing but the text enters a score. Null and empty
-    texts get the score of a text on which no voter fires. Rows that repeat a doc_id are scored each; a doc_id
-    labelled more than once counts as toxic if any label says so. Without labels of both kinds the score is 0 for all.
-    Other columns are ignored.
-    """
+    voters: Voters
+    weights: tuple[float, ...] = ()
+    intercept: float = -40.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions()) -> tuple[Classifier, DataFrame]:
+    """The classifier, and doc_id, held_out, votes of all documents."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     voters = find_voters(docs, labels, opts)
     m = len(voters.names)
     votes = materialize(cast_votes(docs, voters).withColumn("held_out", held_out(F.col("doc_id"))))
     if not voters.words and not voters.beginnings:
-        return votes.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return Classifier(voters), votes
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     train = votes.where("not held_out").join(known, "doc_id", "left")
     patterns = materialize(
@@ -278,6 +288,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = Toxi
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=100, standardization=False).fit(
         materialize(rows.where("weight > 1e-9"))
     )
-    score = _sigmoid(linear(F.col("votes"), fitted.coefficients.toArray().tolist(), fitted.intercept))
+    return Classifier(voters, tuple(fitted.coefficients.toArray().tolist()), float(fitted.intercept)), votes
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+
+    Labels (doc_id, toxic) of held-out rows are never read, and nothing but the text enters a score. Null and empty
+    texts get the score of a text on which no voter fires. Rows that repeat a doc_id are scored each; a doc_id
+    labelled more than once counts as toxic if any label says so. Without labels of both kinds, or without a word that
+    tells them apart, all scores are next to 0. Other columns are ignored.
+    """
+    model, votes = fit(docs, labels, opts)
+    score = _sigmoid(linear(F.col("votes"), model.weights or (0.0,) * len(model.voters.names), model.intercept))
     scored = votes.withColumn("score", score)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions()) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5."""
+    model, _ = fit(docs, labels, opts)
+    if not model.weights:
+        return docs
+    at_text, weights = docs.columns.index("text"), np.array(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caster = _Caster(model.voters)
+        for batch in batches:
+            for rows, data, at in chunks(batch.column(at_text)):
+                doc, voter = caster(data, at)
+                score = model.intercept + np.bincount(doc, weights[voter], minlength=len(at) - 1)
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(score < 0))
+
+    return docs.mapInArrow(run, docs.schema)
