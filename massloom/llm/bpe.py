@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# entries a worker remembers of pairs and, twice that, of pieces: time saved only, any size gives the same tokens
-REMEMBERED = 1 << 19
+# entries a task remembers of pairs and, twice that, of pieces: time saved only, any size gives the same tokens
+REMEMBERED = 1 << 18
 
 
 class Vocabulary:
@@ -105,6 +105,11 @@ class Vocabulary:
                 self._pieces[text] = known
         return known
 
+    def forget(self) -> None:
+        """Give back what was remembered, as workers outlive their tasks."""
+        for known in (self._pieces, self._older, self.known_pairs):
+            known.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.pattern.findall(text)))
 
@@ -201,6 +206,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"]
                 )
+        vocab.forget()
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return wanted.mapInArrow(run, "doc_id long, ids array<int>")
