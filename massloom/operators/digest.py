@@ -125,7 +125,7 @@ def _decoy_protein(opts: DigestOptions) -> Column:
         return F.col("seq")
     if opts.decoy_method == "reverse":
         return F.reverse("seq")
-    return shuffle_letters(F.col("seq"), F.col("protein_id"), opts.seed)
+    return shuffle_letters(F.col("seq"), F.col("desc"), opts.seed)
 
 
 def _decoy_fragments(opts: DigestOptions) -> Column:

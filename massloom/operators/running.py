@@ -1,9 +1,8 @@
 """Running totals over a whole table in score order, without one task seeing it all.
 
 Rows are first counted per distinct score, so ties are one row. The distinct
-scores are cut into ranges by fixed edges; ranges run in parallel and start
-from the totals of the ranges before them. The edges are plain numbers once
-found, so a recomputed task places its rows as before.
+scores are dealt to ranges by score and written with the number of their range;
+ranges run in parallel and start from the totals of the ranges before them.
 """
 
 from __future__ import annotations
@@ -11,49 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.functions.chem import bind
-
-# groups x edges kept on the driver
-MAX_EDGES = 200_000
-
-
-def _edges(counts: DataFrame, value: str, by: list[str], ranges: int) -> dict[tuple, list[float]]:
-    """Approximate quantiles of the distinct values of each group: at most ``ranges`` numbers each."""
-    probs = [i / ranges for i in range(1, ranges)]
-    if not probs:
-        return {}
-    rows = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("_e")).limit(MAX_EDGES // ranges + 1)
-    found = rows.collect()
-    if len(found) * ranges > MAX_EDGES:
-        raise ValueError("too many groups for running totals; group by fewer columns")
-    return {tuple(r[b] for b in by): sorted(set(r["_e"] or [])) for r in found}
-
-
-def _range_of(value: Column, edges: list[float]) -> Column:
-    """Number of edges at or below the value, by halving steps."""
-    if not edges:
-        return F.lit(0)
-    points = F.array(*[F.lit(float(e)) for e in edges])
-    n = len(edges)
-    steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
-
-    def search(points: Column) -> Column:
-        return F.aggregate(
-            F.array(*[F.lit(s) for s in steps]),
-            F.lit(0),
-            lambda at, step: F.when(
-                (at + step <= n) & (F.get(points, at + step - 1) <= value), at + step
-            ).otherwise(at),
-        )
-
-    return bind(points, search)
-
-
-def _group_is(by: list[str], key: tuple) -> Column:
-    hit = F.lit(True)
-    for b, k in zip(by, key):
-        hit = hit & F.col(b).eqNullSafe(F.lit(k))
-    return hit
+from massloom.sources.stages import materialize
 
 
 def cumulate(
@@ -70,12 +27,10 @@ def cumulate(
     """
     by = list(by)
     ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = _edges(counts, value, by, ranges)
-    place = F.lit(0)
-    for key, points in edges.items():
-        place = F.when(_group_is(by, key), _range_of(F.col(value), points)).otherwise(place)
-    placed = counts.withColumn("_range", place)
-    # at most groups x ranges rows from here to the join
+    # written with the number of its range, so that a row has the same range whenever it is read
+    placed = counts.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id())
+    placed = materialize(placed)
+    # a range holds few groups or one group few ranges: about ranges + groups rows
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     order = F.desc("_range") if descending else F.asc("_range")
     before = (
@@ -92,7 +47,7 @@ def cumulate(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        placed.join(F.broadcast(offsets), [*by, "_range"])
+        placed.join(offsets, [*by, "_range"])
         .withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(within) for c in sums})
         .drop(*[f"_o_{c}" for c in sums])
     )
@@ -117,7 +72,7 @@ def suffix_min(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        table.join(F.broadcast(later), [*by, "_range"])
+        table.join(later, [*by, "_range"])
         .withColumn(out, F.least(F.min(target).over(within), F.col("_later")))
         .drop("_later")
     )
@@ -129,7 +84,7 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | t
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = cumulate(counts, value, ["n"], by, descending=False)
     if by:
-        ranked = ranked.join(F.broadcast(counts.groupBy(*by).agg(F.sum("n").alias("_size"))), by)
+        ranked = ranked.join(counts.groupBy(*by).agg(F.sum("n").alias("_size")), by)
     else:
         ranked = ranked.withColumn("_size", counts.agg(F.sum("n")).scalar())
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1

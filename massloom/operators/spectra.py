@@ -94,8 +94,12 @@ def dense_bins(peaks: DataFrame, size: int = 20_000) -> DataFrame:
 
 def to_vector(bins: DataFrame, size: int) -> DataFrame:
     """Binned spectra as ML vectors; a vector holds at most ``size`` entries."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("bin"), F.col("intensity").alias("v"))))
-    make = F.udf(lambda ps: SparseVector(size, [(p[0], p[1]) for p in ps]), VectorUDT())
-    return bins.groupBy("query_id").agg(make(pairs).alias("features"))
+    from pyspark.ml.functions import array_to_vector
+
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("bin"), F.col("intensity").cast("double").alias("v"))))
+    at = F.col("pairs")["bin"]
+    # zeros up to each bin, its value, and zeros after the last
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = F.transform("pairs", lambda p, i: F.concat(zeros(p["bin"] - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.array(p["v"])))
+    dense = F.concat(F.flatten(filled), zeros(F.lit(size) - F.element_at(at, -1) - 1))
+    return bins.groupBy("query_id").agg(pairs.alias("pairs")).select("query_id", array_to_vector(dense).alias("features"))

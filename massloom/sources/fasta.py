@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.sources.stages import spread
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(protein_id, desc, seq)``, one row per record.
 
     Records are split at line ends followed by ``>``, so a ``>`` inside a header
     stays. ``desc`` is the whole header line; ``protein_id`` follows file order.
     """
-    records = spread(spark.read.option("lineSep", "\n>").text(path))
+    records = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace("value", "^>", "")
     # a file that starts with ">" loses it here; one that does not starts with stray lines
     header = F.trim(F.regexp_extract(body, "^([^\r\n]*)", 1))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.sources.stages import spread
-
 PEAK_LINE = r"(?m)^([0-9]\S*[ \t]+\S[^\r\n]*)"
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    blocks = spread(spark.read.option("lineSep", "END IONS").text(path))
+    blocks = spark.read.option("lineSep", "END IONS").text(path)
     return blocks.where(F.contains("value", F.lit("BEGIN IONS"))).select(
         F.monotonically_increasing_id().alias("query_id"),
         F.substring_index("value", "BEGIN IONS", -1).alias("value"),
@@ -31,7 +29,7 @@ def read_mgf(spark: SparkSession, path: str, extra_keys: tuple[str, ...] = ()) -
 
     The charge is the first whole number of its line; a spectrum without a
     readable charge or precursor has nulls there and falls to the charge and
-    mass filters. ``extra_keys`` become ``mgf:KEY`` entries of ``meta``.
+    mass filters. A spectrum without a title is named after its ``query_id``. ``extra_keys`` become ``mgf:KEY`` entries of ``meta``.
     """
     lines = F.regexp_extract_all("value", F.lit(PEAK_LINE), F.lit(1))
     peaks = F.transform(
@@ -48,7 +46,7 @@ def read_mgf(spark: SparkSession, path: str, extra_keys: tuple[str, ...] = ()) -
     )
     return _records(spark, path).select(
         "query_id",
-        F.coalesce(_field("TITLE"), F.lit("")).alias("title"),
+        F.coalesce(F.nullif(_field("TITLE"), F.lit("")), F.concat(F.lit("spectrum_"), "query_id")).alias("title"),
         F.coalesce(_field("RTINSECONDS").try_cast("double"), F.lit(0.0)).alias("rt"),
         F.regexp_extract(F.coalesce(_field("CHARGE"), F.lit("0")), r"([0-9]+)", 1).try_cast("int").alias("charge"),
         F.split(_field("PEPMASS"), r"\s+").getItem(0).try_cast("double").alias("pepmass"),
@@ -59,16 +57,20 @@ def read_mgf(spark: SparkSession, path: str, extra_keys: tuple[str, ...] = ()) -
 
 def read_mgf_fields(spark: SparkSession, path: str, key: str) -> DataFrame:
     """``(title, value)`` of an extra header; an error if a spectrum lacks it."""
+    return _titled(spark, path, key).select("title", "value")
+
+
+def _titled(spark: SparkSession, path: str, key: str) -> DataFrame:
     value = _field(key)
     missing = F.raise_error(F.concat(F.lit(f"no key {key} in spectrum "), F.coalesce(_field("TITLE"), F.lit("?"))))
     return _records(spark, path).select(
-        _field("TITLE").alias("title"), F.coalesce(value, missing.cast("string")).alias("value")
+        "query_id", _field("TITLE").alias("title"), F.coalesce(value, missing.cast("string")).alias("value")
     )
 
 
 def with_mgf_field(spectra: DataFrame, path: str, key: str) -> DataFrame:
-    """Spectra with an MGF header added to ``meta`` by title; an error where it is missing."""
-    fields = read_mgf_fields(spectra.sparkSession, path, key).dropDuplicates(["title"])
+    """Spectra with an MGF header added to ``meta`` by title, of records with one title the first; an error where it is missing."""
+    fields = _titled(spectra.sparkSession, path, key).groupBy("title").agg(F.min_by("value", "query_id").alias("value"))
     joined = spectra.join(fields, "title", "left")
     missing = F.raise_error(F.concat(F.lit("no record titled "), "title")).cast("string")
     entry = F.create_map(F.lit(f"mgf:{key}"), F.coalesce("value", missing))

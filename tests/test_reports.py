@@ -123,3 +123,10 @@ def test_splits_share_no_peptide(spark):
     per = df.select("p", learned.split_of(F.col("p")).alias("s")).groupBy("p").agg(F.countDistinct("s").alias("n"), F.first("s").alias("s"))
     assert per.where("n > 1").count() == 0
     assert 0.7 < per.where("s = 'train'").count() / 500 < 0.9
+
+
+def test_many_groups_and_ranges(spark):
+    """Running totals have no bound on groups times ranges."""
+    counts = spark.range(3000).selectExpr("id % 500 AS g", "id AS v", "1 AS n")
+    got = running.cumulate(counts, "v", ["n"], ["g"], descending=False, ranges=600)
+    assert got.where("cum_n != (v - g) div 500 + 1").count() == 0 and got.count() == 3000

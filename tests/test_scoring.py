@@ -98,46 +98,50 @@ def test_hyperscore(sides, closest, per_cell):
 
 
 def dense_xcorr(s, opts):
-    """Normalised and corrected spectrum as full arrays, step by step."""
+    """Bin width, normalised and corrected spectrum, each from its formula.
+
+    x: the root of each bin's largest peak over the largest of its segment, 0 at or below the cutoff.
+    S(j): the sum of x before j + w, less that from w to before j - w - 1.
+    corrected: flank weights applied to x - (S - x) / 2w; a flank d bins away counts if it is closer than both ends.
+    """
     mz = np.array([p["mz"] for p in s["peaks"]])
-    inten = np.array([p["intensity"] for p in s["peaks"]])
     res = max(mz.max() * 1e-6 * opts.resolution, opts.min_bin) if opts.unit == "ppm" else opts.resolution
     size = int(mz.max() / res) + opts.window + 1
-    flat = np.zeros(size)
-    for m, v in zip(mz, inten):
-        flat[int(m / res)] = max(flat[int(m / res)], v)
-    flat = np.sqrt(flat)
-    step = int(min(int((s["mass"] + 50) / res), int(mz.max() / res)) / opts.norm_windows + 1)
-    normed = np.zeros(size)
-    for i in range(opts.norm_windows):
-        part = slice(i * step, (i + 1) * step)
-        if flat[part].size and flat[part].max() > 0:
-            normed[part] = np.where(flat[part] > opts.cutoff * flat.max(), flat[part] / flat[part].max(), 0)
-    w = opts.window
-    corrected = np.zeros(size)
-    running = normed[:w].sum()
-    this = np.zeros(size)
-    for j in range(size):
-        this[j] = normed[j] - (running - normed[j]) / (2 * w)
-        running += (normed[j + w] if j + w < size else 0) - (normed[j - w - 1] if j > 2 * w else 0)
-    for j in range(size):
-        if opts.flank_mode == "gauss":
-            kernel = [math.exp(-0.5 * d * d) / math.sqrt(2 * math.pi) for d in range(opts.flank_length + 1)]
-        elif opts.flank_mode == "exp":
-            kernel = [0.5**d for d in range(opts.flank_length + 1)]
-        else:
-            kernel = [1.0]
-        corrected[j] += kernel[0] * this[j]
-        if opts.flank_mode == "sides":
-            if j < size - 1:
-                corrected[j + 1] += this[j] / 2
-            if j > 0:
-                corrected[j - 1] += this[j] / 2
-            continue
-        for d in range(1, min(j, size - j - 1, len(kernel))):
-            corrected[j - d] += kernel[d] * this[j]
-            corrected[j + d] += kernel[d] * this[j]
-    return res, normed, corrected
+    root = np.zeros(size)
+    np.maximum.at(root, (mz / res).astype(int), np.sqrt([p["intensity"] for p in s["peaks"]]))
+    length = int(min(int((s["mass"] + 50) / res), int(mz.max() / res)) / opts.norm_windows + 1)
+    segment = np.arange(size) // length
+    largest = np.zeros(segment[-1] + 1)
+    np.maximum.at(largest, segment, root)
+    kept = (segment < opts.norm_windows) & (root > opts.cutoff * root.max())
+    x = np.divide(root, largest[segment], out=np.zeros(size), where=kept)
+
+    w, j = opts.window, np.arange(size)
+    before = np.concatenate([[0.0], np.cumsum(x)])
+    total = before[np.minimum(j + w, size)] - (before[np.maximum(j - w - 1, w)] - before[w])
+    less = x - (total - x) / (2 * w)
+
+    if opts.flank_mode == "sides":
+        weights, reach = [1.0, 0.5], np.full(size, 2)
+    else:
+        d = np.arange(opts.flank_length + 1)
+        weights = {"gauss": np.exp(-d * d / 2) / math.sqrt(2 * math.pi), "exp": 0.5**d}.get(opts.flank_mode, [1.0])
+        reach = np.minimum(np.minimum(j, size - j - 1), len(weights))
+    corrected = weights[0] * less
+    for d, weight in enumerate(weights[1:], 1):
+        near = np.where(d < reach, weight * less, 0)
+        corrected[:-d] += near[d:]
+        corrected[d:] += near[:-d]
+    return res, x, corrected
+
+
+def test_dense_xcorr_by_hand():
+    opts = XcorrOptions(resolution=1.0, unit="abs", flank_mode="none", window=2, norm_windows=1, cutoff=0.1)
+    spectrum = {"peaks": [{"mz": 3.2, "intensity": 4.0}, {"mz": 5.1, "intensity": 1.0}], "mass": 100.0}
+    res, x, corrected = dense_xcorr(spectrum, opts)
+    assert res == 1.0 and x.tolist() == [0, 0, 0, 1, 0, 0.5, 0, 0]
+    # S is 0 0 1 1 1.5 1.5 1.5 1.5: bins 0 to j + 1, less bins 2 to j - 4
+    assert corrected == pytest.approx([0, 0, -0.25, 1.0, -0.375, 0.25, -0.375, -0.125])
 
 
 SETTINGS = [
