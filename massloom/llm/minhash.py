@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.llm.graph import components
+from massloom.llm.scratch import scratch_table
 from massloom.llm.text import chunks, list_array, mix, shingles, word_hashes
 from massloom.sources.stages import materialize
 
@@ -169,6 +170,30 @@ def _possible(rest: DataFrame, sets: DataFrame, opts: NearOptions) -> DataFrame:
     return met.select(*_ordered(F.col("rep"), F.col("rep2"))).distinct()
 
 
+def _linked(shared: DataFrame, sets: DataFrame, opts: NearOptions) -> DataFrame:
+    """node, root of all classes with links; ``shared`` has key, rep, n, central of the members of buckets."""
+    tested = links = labels = None
+    members = shared.withColumn("root", F.col("rep"))
+    for step in range(opts.hub_rounds):
+        preferred = -F.col("central") if step == 0 else F.xxhash64("rep", F.lit(step))
+        hubs = members.groupBy("key").agg(F.min(F.struct(preferred.alias("h"), "rep", "root", "n")).alias("hub"))
+        met = members.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+        met = met.where(_long_enough(F.col("n"), F.col("hub.n"), opts))
+        # one hub for each class and round: the first of those its buckets offer
+        chosen = met.groupBy("rep").agg(F.min("hub").alias("hub"))
+        pairs = chosen.select(*_ordered(F.col("rep"), F.col("hub.rep"))).distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = materialize(_confirm(pairs, sets, opts))
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        members = materialize(_unsettled(shared, labels))
+    rest = members.select("rep", "root", "n").distinct()
+    pairs = _possible(rest, sets, opts)
+    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    return components(links.union(materialize(_confirm(pairs, sets, opts))))
+
+
 def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -193,28 +218,8 @@ def near_duplicates(docs: DataFrame, opts: NearOptions = NearOptions()) -> DataF
     # the same plan at every size: the ids grow with the documents and are not broadcast
     met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     wanted = docs.join(met, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(wanted, opts))
-
-    tested = links = labels = None
-    members = shared.withColumn("root", F.col("rep"))
-    for step in range(opts.hub_rounds):
-        preferred = -F.col("central") if step == 0 else F.xxhash64("rep", F.lit(step))
-        hubs = members.groupBy("key").agg(F.min(F.struct(preferred.alias("h"), "rep", "root", "n")).alias("hub"))
-        met = members.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
-        met = met.where(_long_enough(F.col("n"), F.col("hub.n"), opts))
-        # one hub for each class and round: the first of those its buckets offer
-        chosen = met.groupBy("rep").agg(F.min("hub").alias("hub"))
-        pairs = chosen.select(*_ordered(F.col("rep"), F.col("hub.rep"))).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = materialize(_confirm(pairs, sets, opts))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        members = materialize(_unsettled(shared, labels))
-    rest = members.select("rep", "root", "n").distinct()
-    pairs = _possible(rest, sets, opts)
-    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    labels = components(links.union(materialize(_confirm(pairs, sets, opts))))
+    with scratch_table(shingle_sets(wanted, opts)) as sets:
+        labels = _linked(shared, sets, opts)
 
     by_class = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("fp", F.coalesce("root", "rep").alias("of_class"))
