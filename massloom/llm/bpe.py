@@ -17,6 +17,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -186,30 +187,50 @@ def load(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
+def _encoded(vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids from doc_id and text."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            coded = [vocab.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+            ends = [0]
+            for c in coded:
+                ends.append(ends[-1] + len(c) // 4)
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(coded))])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+    vocab.forget()
+
+
+def _digested(vocab: Vocabulary, batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id and what ids are digested to, from doc_id and ids."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for part in batches:
+        lists = part.column(1)
+        ids = [lists[i].values.to_numpy() if lists[i].is_valid else np.zeros(0, np.int32) for i in range(len(lists))]
+        columns = [
+            part.column(0),
+            pa.array([len(i) for i in ids], pa.int64()),
+            pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]),
+            pa.array([hashlib.sha256(vocab.decode(i.tolist())).hexdigest() for i in ids]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns + [lists] * keep_ids, names=names + ["ids"] * keep_ids)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of every whole text; null is empty. One row per row of ``docs``.
 
-    ``path`` is a file every worker can open, such as one installed with the workers.
+    ``path`` is a file every worker can open, such as one installed with the workers. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load(path, pattern)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = part.column(1).to_pylist()
-                coded = [vocab.encode(t) if t else b"" for t in texts]
-                ends = [0]
-                for c in coded:
-                    ends.append(ends[-1] + len(c) // 4)
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(coded))])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"]
-                )
-        vocab.forget()
+        return _encoded(load(path, pattern), batches)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -221,35 +242,21 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 raw = [vocab.decode(ids or ()) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"]
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes after decoding).
+def encode_and_check(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes the ids decode to).
 
-    With ``keep_ids`` the ids follow.
+    Encoding and decoding are steps of one task. With ``keep_ids`` the ids follow. Null texts are empty; one row per
+    row of ``docs``; other columns are ignored.
     """
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load(path, pattern)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                lists = part.column(1)
-                own = [lists[i].values if lists[i].is_valid else None for i in range(len(lists))]
-                ids = [v.to_numpy() if v is not None else () for v in own]
-                columns = [
-                    part.column(0),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i.astype("<u4").tobytes() if len(i) else b"").hexdigest() for i in ids]),
-                    pa.array([hashlib.sha256(vocab.decode(i.tolist() if len(i) else ())).hexdigest() for i in ids]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns + [lists] * keep_ids, names=names)
+        return _digested(vocab, _encoded(vocab, batches), keep_ids)
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encoded.select("doc_id", "ids").mapInArrow(run, kinds)
+    return _texts(docs).mapInArrow(run, kinds)

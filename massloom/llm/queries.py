@@ -59,7 +59,7 @@ def op2_bpe(spark, sf_dir):
     from massloom.llm import bpe
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return bpe.encode_and_check(table(spark, sf_dir, "documents"), path, pattern)
 
 
 @query()

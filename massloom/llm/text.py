@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 # the bytes between words: space and 09-0D
 SPACE = np.zeros(256, bool)
