@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The cleavage rule here and the defaults below are the established settings, needed for equal results.
 TRYPSIN = r"([RK](?!P))|((?<=W)K(?=P))|((?<=M)R(?=P))"
 
 
