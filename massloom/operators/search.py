@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SPECTRUM_COLUMNS = ["query_id", "charge", "mass", "min_mass", "max_mass", "peaks
 CANDIDATE_COLUMNS = ["cand_id", "mass", "length", "seq", "mods"]
 
 FEATURES = ["score", "rawscore", "total_matched", "sum_i", "ion_frac"]
+# columns of scored pairs that neither side gives
+SCORED = [*FEATURES, "xcorr", "hyperscore", *CELL]
 
 
 def _narrow(spectra: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,25 +125,43 @@ def search(
 
     ``retain`` keeps that many per spectrum; ``None`` keeps every match with a
     positive score. ``cand_filter`` is a condition on the columns of a pair.
-    Names and sequences are fetched for the surviving rows only, unless the
-    filter needs them first.
+    A condition on one side only cuts that side before anything is scored; one
+    on both sides is applied to scored pairs. Names and sequences are fetched
+    for the surviving rows only, unless such a condition needs them first.
     """
     run = SCORERS[scorer] if isinstance(scorer, str) else scorer
+    condition = cand_filter() if callable(cand_filter) else cand_filter
+    if condition is not None:
+        spectra, cands, condition = _filter_sides(spectra, cands, condition)
     psms = run(spectra, cands, search=opts, **scorer_options)
-    if cand_filter is not None:
-        psms = _describe(psms, spectra, cands).where(cand_filter() if callable(cand_filter) else cand_filter)
-        described = True
-    else:
-        described = False
+    if condition is not None:
+        psms = _describe(psms, spectra, cands).where(condition)
     if retain is not None:
         psms = top_n(psms, retain)
-    if not described:
+    if condition is None:
         psms = _describe(psms, spectra, cands)
     return feature_columns(psms.drop(*CELL)).withColumn(
         "psm_id", chem.stable_id(F.col("query_id").cast("string"), F.col("cand_id").cast("string"))
     )
 
 
+def _filter_sides(
+    spectra: DataFrame, cands: DataFrame, condition: Column
+) -> tuple[DataFrame, DataFrame, Column | None]:
+    """Both sides, the one that alone settles the condition cut by it, and what is left of the condition."""
+    s, c = _renamed(spectra, QUERY_NAMES), _renamed(cands, CAND_NAMES)
+    for own, other, names in ((c, s, CAND_NAMES), (s, c, QUERY_NAMES)):
+        # a name that both sides or the scorers have may mean another column in a pair
+        usable = [x for x in own.columns if x not in other.columns and x not in SCORED]
+        try:
+            own.select(*usable).where(condition).schema
+        except AnalysisException:
+            continue
+        cut = own.where(condition).withColumnsRenamed({b: a for a, b in names.items()})
+        return (spectra, cut, None) if own is c else (cut, cands, None)
+    return spectra, cands, condition
+
+
 def _describe(psms: DataFrame, spectra: DataFrame, cands: DataFrame) -> DataFrame:
     """Add what the scorers did not carry: names, sequences, metadata."""
     c = _renamed(cands, CAND_NAMES)

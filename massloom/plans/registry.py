@@ -455,14 +455,14 @@ def spectrum_norm(spark, sf_dir):
 
 
 _BINNED = """SELECT query_id, bin, s / max(s) OVER (PARTITION BY query_id) AS v FROM (
-    SELECT query_id, round_even(mz / 10e0, 0)::INTEGER AS bin, sum(intensity) AS s FROM ev_peaks
-    WHERE round_even(mz / 10e0, 0) < 500 GROUP BY 1, 2)"""
+    SELECT query_id, round_even(mz / 0.1e0, 0)::INTEGER AS bin, sum(intensity) AS s FROM ev_peaks
+    WHERE round_even(mz / 0.1e0, 0) < 50000 GROUP BY 1, 2)"""
 
 
 @query(sql(f"SELECT query_id, bin, round(v, 6) AS intensity, round(sqrt(v), 6) AS root FROM ({_BINNED})"))
 def spectrum_binned(spark, sf_dir):
     peaks = fx.event_peaks(spark, sf_dir)
-    bins = spec.bin_spectra(peaks, 10.0, 500)
+    bins = spec.bin_spectra(peaks, 0.1, 50_000)
     return bins.select("query_id", "bin", F.round("intensity", 6).alias("intensity"), F.round(F.sqrt("intensity"), 6).alias("root"))
 
 
@@ -478,7 +478,7 @@ def spectrum_bin_max(spark, sf_dir):
     )
 )
 def spectrum_top_peaks(spark, sf_dir):
-    bins = spec.bin_spectra(fx.event_peaks(spark, sf_dir), 10.0, 500)
+    bins = spec.bin_spectra(fx.event_peaks(spark, sf_dir), 0.1, 50_000)
     return spec.top_peaks(bins, 20).withColumn("intensity", F.round("intensity", 6))
 
 
@@ -710,6 +710,19 @@ def search_topn(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT query_id, cand_id, modseq, round(score, 6) AS score FROM (
+            SELECT * FROM joint WHERE length > 9 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) <= 10)
+        JOIN pairs USING (query_id, cand_id)"""
+    )
+)
+def search_filtered(spark, sf_dir):
+    """A condition on candidates, which cuts them before they are scored."""
+    rows = search_ops.search(*_all_sides(spark, sf_dir), retain=10, cand_filter=F.col("length") > 9)
+    return rows.select("query_id", "cand_id", "modseq", F.round("score", 6).alias("score"))
+
+
 @query(
     sql(
         """SELECT title, modseq, truth, decoy, modseq = truth AS found FROM best
@@ -1003,13 +1016,13 @@ def _search_pin(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query()
 def rf_rescore(spark, sf_dir):
     psms, pin, _ = _search_pin(spark, sf_dir)
-    return rescoring.rf_rescore(pin, folds=3, trees=10)
+    return rescoring.rf_rescore(pin)
 
 
 @query()
 def rf_train(spark, sf_dir):
     _, pin, truth = _search_pin(spark, sf_dir)
-    return rescoring.train_rf(pin, truth, folds=3, trees=10)[2]
+    return rescoring.train_rf(pin, truth)[2]
 
 
 @query()
@@ -1022,7 +1035,7 @@ def linear_rescore(spark, sf_dir):
 @query()
 def semi_supervised_rescore(spark, sf_dir):
     psms, pin, _ = _search_pin(spark, sf_dir)
-    rescored = rescoring.semi_supervised_rescore(pin, fdr=0.05, iterations=2)
+    rescored = rescoring.semi_supervised_rescore(pin)
     return rescoring.apply_scores(psms, rescored).select("title", "modseq", "decoy", F.round("score", 6).alias("score"))
 
 
@@ -1203,7 +1216,7 @@ def stage_resume(spark, sf_dir):
 
     path = _fresh(spark, "run")
     inputs = dict(proteins=fx.proteins(spark, sf_dir), spectra=fx.planted(spark, sf_dir))
-    run_stages(spark, path, **inputs, opts=RunOptions(digest=PLAIN), stages=("candidates", "spectra", "psms"))
+    run_stages(spark, path, **inputs, stages=("candidates", "spectra", "psms"))
     run_stages(spark, path, opts=RunOptions(report=ReportOptions(fdr=0.05)), stages=("report", "pin"))
     return report.load_report(spark, f"{path}/report", "summary")
 

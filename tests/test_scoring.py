@@ -227,6 +227,23 @@ def test_combined_and_user_scorers(sides):
     assert search_ops.score_hyperscore(spectra, custom).count() < len(rows)
 
 
+def test_filters_of_one_side_cut_it_before_scoring(sides):
+    spectra, cands, _ = sides
+    everything = search_ops.search(spectra, cands).select("query_id", "cand_id", "length", "charge", "query_mass", "score").collect()
+    assert everything
+    one_sided = [(F.col("length") < 12, lambda r: r["length"] < 12), (F.col("charge") > 2, lambda r: r["charge"] > 2),
+                 (F.col("query_mass") > 1000, lambda r: r["query_mass"] > 1000)]
+    for condition, holds in one_sided:
+        s, c, left = search_ops._filter_sides(spectra, cands, condition)
+        assert left is None and s.columns == spectra.columns and c.columns == cands.columns
+        got = {(r["query_id"], r["cand_id"]): r["score"] for r in search_ops.search(spectra, cands, cand_filter=condition).collect()}
+        assert got == pytest.approx({(r["query_id"], r["cand_id"]): r["score"] for r in everything if holds(r)})
+    both = F.abs(F.col("query_mass") - F.col("cand_mass")) < F.col("length") * 1e-4
+    for condition in (both, F.col("score") > 1):
+        s, c, left = search_ops._filter_sides(spectra, cands, condition)
+        assert (s, c) == (spectra, cands) and left is not None
+
+
 def test_planted_spectra_come_back(spark, sf):
     from massloom.plans import registry
 
