@@ -1221,7 +1221,14 @@ def stage_resume(spark, sf_dir):
     return report.load_report(spark, f"{path}/report", "summary")
 
 
-@query()
+@query(
+    sql(
+        """SELECT title, modseq, round(closeness + 1.5, 6) AS score, 1.5e0 AS extra_feature FROM (
+            SELECT query_id, modseq, 1 / (1 + abs(cand_mass - query_mass)) AS closeness FROM pairs WHERE length(seq) > 7
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, cand_id) <= 10)
+        JOIN spectra USING (query_id)"""
+    )
+)
 def hooks_roundtrip(spark, sf_dir):
     """A run with a user function in every slot."""
     from massloom.plans.hooks import Hooks, batch_hook
@@ -1231,11 +1238,19 @@ def hooks_roundtrip(spark, sf_dir):
         return pdf.assign(rt=pdf["length"] * 1.5)
 
     def plain_score(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("score", F.lit(1.0) / (1.0 + F.abs(F.col("cand_mass") - F.col("query_mass"))))
+        return pairs.withColumn("score", F.size("ions") / (1.0 + F.abs(F.col("cand_mass") - F.col("query_mass"))))
+
+    def one_ion(cands: DataFrame) -> DataFrame:
+        ion = F.struct(
+            F.lit("b").alias("series"), F.lit(1).alias("z"), F.lit(1).alias("pos"), F.lit(500.0).alias("mz"), F.lit(1.0).alias("weight")
+        )
+        return cands.withColumn("ions", F.array(ion))
 
     scorer = search_ops.pairwise_scorer(plain_score)
     hooks = Hooks(
         proteins=lambda p, opts: dig.digest(p, opts),
+        decoy_proteins=lambda p, opts: dig.digest_decoys(p, opts),
+        spectrum=one_ion,
         retention_time=batch_hook(later, "rt double"),
         candidates=lambda c: c.where(F.col("rt") > 0),
         spectra=lambda s: s.withColumn("n_peaks", F.size("peaks")),
@@ -1247,6 +1262,6 @@ def hooks_roundtrip(spark, sf_dir):
     )
     done = run_stages(
         spark, _fresh(spark, "run"), fx.proteins(spark, sf_dir), fx.planted(spark, sf_dir),
-        RunOptions(digest=PLAIN), ("candidates", "spectra", "psms", "pin", "rescored"), hooks,
+        RunOptions(), ("candidates", "spectra", "psms", "pin", "rescored"), hooks,
     )
     return done["rescored"].select("title", "modseq", F.round("score", 6).alias("score"), "extra_feature")
