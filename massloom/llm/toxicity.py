@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are found in the labelled training texts: words (lexicon voters) and word beginnings (pattern voters) that
-toxic texts have far more often, and a few fixed patterns of shouting. A voter fires or is silent. The label model
+Voters are found in the labelled training texts: all words (lexicon voters), and beginnings of the words left (pattern
+voters), that toxic texts have more often than chance explains, and a few fixed patterns of shouting. A voter fires or is silent. The label model
 gives each voter its rates of firing on toxic and on clean texts, by expectation maximisation over all training texts,
 labelled or not; the correlation of voters on toxic texts shrinks the weight of those that say the same. A logistic
 regression on the votes is then trained on the posterior labels.
@@ -16,14 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.text import SPACE, Hashes, chunks, hash_of, list_array, word_spans
+from massloom.llm.text import LOWER, SPACE, Hashes, chunks, hash_of, list_array, mix, word_spans
 from massloom.sources.stages import materialize
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = ".,;:!?()[]\"'"
 FIXED = ("shouting", "exclamations")
 
@@ -33,20 +32,21 @@ BETWEEN[[ord(c) for c in PUNCTUATION]] = True
 
 @dataclass(frozen=True)
 class ToxicOptions:
-    """``lexicon`` and ``beginnings`` are the numbers of voters of each kind.
+    """A voter is seen in at least ``least`` toxic texts, ``odds`` times as often as in clean ones, and so often that
+    about ``chance`` of all words tested would be by chance. Texts in which the ``near`` words on both sides are the
+    same, as in copies of one text, count once; next to a place where the copies differ they do not. There is no limit to
+    the number of voters.
 
-    A voter fires in at least ``least`` toxic texts and in a ``support`` share of them, which a group of copies of one
-    text does not reach. Voters correlated above ``alike`` say the same and share their weight. Voters are looked for
-    in at most ``sample`` different labelled texts, those with the smallest hashes; rates and the classifier use all.
+    Voters correlated above ``alike`` say the same and share their weight. Voters are looked for in at most ``sample``
+    different labelled texts, those with the smallest hashes; rates and the classifier use all.
     """
 
     sample: int = 50_000
-    lexicon: int = 128
-    beginnings: int = 64
     lengths: tuple[int, ...] = (3, 4, 5, 6)
-    least: int = 8
-    support: float = 0.02
-    odds: float = 100.0
+    least: int = 5
+    odds: float = 5.0
+    chance: float = 1.0
+    near: int = 3
     alike: float = 0.5
     rounds: int = 5
 
@@ -66,8 +66,78 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of ``data``, A-Z as a-z, as an Arrow column."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    picked = data[np.repeat(starts - at[:-1], ends - starts) + np.arange(at[-1])]
+    return pa.LargeStringArray.from_buffers(
+        len(starts), pa.py_buffer(at), pa.py_buffer(LOWER[picked].astype(np.uint8))
+    ).cast(pa.string())
+
+
+def _around(words: np.ndarray, first: np.ndarray, near: int) -> np.ndarray:
+    """A hash of the ``near`` words of the text on either side of each word, and of where they lie."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    odd = mix(np.arange(1, 2 * near + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(len(words), np.uint64)
+    for k in range(1, min(near, len(words) - 1) + 1):
+        same = text[k:] == text[:-k]
+        out[k:] += np.where(same, words[:-k] * odd[2 * k - 2], np.uint64(0))
+        out[:-k] += np.where(same, words[k:] * odd[2 * k - 1], np.uint64(0))
+    return mix(out)
+
+
+def _evidence(texts: DataFrame, opts: ToxicOptions, known: tuple[str, ...] | None = None) -> DataFrame:
+    """word, toxic, clean: in how many texts of either kind, counting those with the same words around it once.
+
+    With ``known``, beginnings of all other words instead of words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = _Lookup(known or (), 0)
+        for batch in batches:
+            for rows, data, at in chunks(batch.column(1)):
+                starts, ends, first = word_spans(data, at, BETWEEN)
+                hashed = Hashes(data)
+                words = hashed(starts, ends)
+                around = _around(words, first, opts.near)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(first))
+                spans = [(np.arange(len(starts)), ends)]
+                if known is not None:
+                    left = np.ones(len(starts), bool)
+                    left[chosen(words)[0]] = False
+                    letters = np.flatnonzero((data & 0xC0) != 0x80)
+                    places = np.searchsorted(letters, starts)
+                    letters = np.append(letters, [len(data)] * (max(opts.lengths) + 1))
+                    spans = []
+                    for n in opts.lengths:
+                        cut = letters[places + n]
+                        own = np.flatnonzero(left & (cut <= ends) & (places + n <= len(letters) - max(opts.lengths) - 1))
+                        spans.append((own, cut[own]))
+                own, cut = (np.concatenate(x) for x in zip(*spans))
+                name = hashed(starts[own], cut)
+                order = np.lexsort((around[own], name, text[own]))
+                same = (name[order][1:] == name[order][:-1]) & (text[own][order][1:] == text[own][order][:-1])
+                order = order[np.concatenate([[True], ~same])] if len(order) else order
+                toxic = batch.column(0)[rows].take(pa.array(text[own][order]))
+                yield pa.RecordBatch.from_arrays(
+                    [toxic, _strings(data, starts[own][order], cut[order]), pa.array((around[own][order] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    names=["toxic", "word", "around"],
+                )
+
+    seen = texts.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, word string, around int")
+    # 32 bits tell the texts of one word apart; a bit for each kind
+    once = seen.groupBy("word", "around").agg(F.bit_or(F.col("toxic") + 1).alias("kinds"))
+    return materialize(
+        once.groupBy("word").agg(
+            F.count_if(F.col("kinds").bitwiseAND(2) != 0).alias("toxic"),
+            F.count_if(F.col("kinds").bitwiseAND(1) != 0).alias("clean"),
+        )
+    )
+
+
 def find_voters(docs: DataFrame, labels: DataFrame, opts: ToxicOptions) -> Voters:
-    """Words and word beginnings far more frequent in toxic training texts; equal texts count once."""
+    """Words and word beginnings more frequent in toxic training texts than chance explains; equal texts count once."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = train.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
@@ -76,27 +146,27 @@ def find_voters(docs: DataFrame, labels: DataFrame, opts: ToxicOptions) -> Voter
     total = once.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     if not total["toxic"] or not total["clean"]:
         return Voters((), ())
-    between = "[\\x20\\x09-\\x0D" + "".join("\\" + c for c in PUNCTUATION) + "]+"
-    words = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), between))
     # at most ``sample`` rows of an id and a label
-    seen = train.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("toxic", F.explode(words).alias("word"))
-    counts = seen.where("word != ''").groupBy("word").agg(
-        F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")
-    )
-    counts = materialize(counts)
-    begun = counts.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("word", 1, n).alias("word")) for n in opts.lengths])).alias("x"),
-        F.length("word").alias("long"), "toxic", "clean",
-    ).where("long >= x.n")
-    begun = begun.groupBy("x.word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-    def best(table: DataFrame, n: int) -> tuple[str, ...]:
-        odds = (F.col("toxic") + 0.5) / (total["toxic"] + 1) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
-        told = table.where((F.col("toxic") >= max(opts.least, opts.support * total["toxic"])) & (odds >= opts.odds))
-        rows = told.orderBy(F.desc(F.col("toxic") * F.log(odds)), "word").limit(n).collect()
-        return tuple(r["word"] for r in rows)
+    texts = train.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("toxic", "text")
+    share = total["toxic"] / (total["toxic"] + total["clean"])
 
-    return Voters(best(counts, opts.lexicon), best(begun, opts.beginnings))
+    def told(table: DataFrame) -> list:
+        """Voters, those that say most first. Their surprise bounds -log of the chance of so many toxic texts."""
+        odds = (F.col("toxic") + 0.5) / (total["toxic"] + 1) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
+        seen = F.col("toxic") + F.col("clean")
+        surprise = F.col("toxic") * F.log(F.col("toxic") / seen / share) + F.when(
+            F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - share))
+        ).otherwise(0.0)
+        tested = table.where(F.col("toxic") >= opts.least)
+        bar = math.log(max(tested.count(), 1) / opts.chance)
+        likely = tested.withColumn("surprise", surprise).where((odds >= opts.odds) & (F.col("surprise") >= bar))
+        return likely.orderBy(F.desc("surprise"), "word").collect()
+
+    words = tuple(r["word"] for r in told(_evidence(texts, opts)))
+    begun = {r["word"]: (r["toxic"], r["clean"]) for r in told(_evidence(texts, opts, words))}
+    # a beginning seen just as often as a shorter one that it begins with adds nothing
+    news = tuple(w for w, n in begun.items() if all(begun.get(w[:k]) != n for k in range(1, len(w))))
+    return Voters(words, news)
 
 
 class _Lookup:
@@ -111,6 +181,8 @@ class _Lookup:
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``hashes`` are known, and the voters they stand for."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
         at = np.searchsorted(self.hashes, hashes[maybe])
         at[at == len(self.hashes)] = 0
@@ -189,8 +261,16 @@ def _sigmoid(x: Column) -> Column:
 
 
 def linear(votes: Column, weights: Sequence[float], start: float) -> Column:
-    table = F.array(*[F.lit(float(w)) for w in weights])
-    return F.aggregate(votes, F.lit(float(start)), lambda sum_, v: sum_ + F.get(table, v))
+    table = np.array(weights, float)
+
+    @F.arrow_udf("double")
+    def total(votes: pa.Array) -> pa.Array:
+        fired = votes.flatten().to_numpy(zero_copy_only=False)
+        counts = votes.value_lengths().to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(votes)), counts)
+        return pa.array(start + np.bincount(text, table[fired], minlength=len(votes)))
+
+    return total(votes)
 
 
 def fit_label_model(patterns: DataFrame, voters: int, opts: ToxicOptions) -> LabelModel:
@@ -239,13 +319,19 @@ def _shares(patterns: DataFrame, model: LabelModel, voters: int, opts: ToxicOpti
         .groupBy("v", "w")
         .agg(F.sum("t").alias("t"))
     )
+    rates = both.sparkSession.createDataFrame(list(enumerate(model.toxic)), "x int, rate double")
+    a, b = F.col("a"), F.col("b")
+    found = (F.col("t") / (total + 1) - a * b) / F.sqrt(a * (1 - a) * b * (1 - b))
+    alike = (
+        both.join(F.broadcast(rates.toDF("v", "a")), "v")
+        .join(F.broadcast(rates.toDF("w", "b")), "w")
+        .select("v", "w", F.least(found, F.lit(1.0)).alias("found"))
+        .where(F.col("found") > opts.alike)
+    )
     sums = [0.0] * voters
-    for r in both.collect():  # at most voters squared rows
-        a, b = model.toxic[r["v"]], model.toxic[r["w"]]
-        found = (r["t"] / (total + 1) - a * b) / math.sqrt(a * (1 - a) * b * (1 - b))
-        if found > opts.alike:
-            sums[r["v"]] += min(found, 1.0)
-            sums[r["w"]] += min(found, 1.0)
+    sides = alike.select(F.explode(F.array("v", "w")).alias("v"), "found")
+    for r in sides.groupBy("v").agg(F.sum("found").alias("sum")).collect():  # at most one row per voter
+        sums[r["v"]] = r["sum"]
     return tuple(1 / (1 + s) for s in sums)
 
 
@@ -275,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions())
         )
     )
     model = fit_label_model(patterns, m, opts)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.array_contains("votes", i).cast("double"))
+    sparse = F.udf(lambda votes: Vectors.sparse(m, votes, [1.0] * len(votes)), VectorUDT())
     # posterior labels: a label that was given is one more voter, which is taken at its word
     belief = F.col("toxic") + (F.col("n") - F.col("marked")) * model.posterior(F.col("votes"))
     sides = F.explode(
@@ -284,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, opts: ToxicOptions = ToxicOptions())
             F.struct(F.lit(0.0).alias("label"), (F.col("n") - belief).alias("weight")),
         )
     )
-    rows = patterns.select(array_to_vector(dense).alias("features"), sides.alias("x")).select("features", "x.label", "x.weight")
+    rows = patterns.select(sparse("votes").alias("features"), sides.alias("x")).select("features", "x.label", "x.weight")
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=100, standardization=False).fit(
         materialize(rows.where("weight > 1e-9"))
     )

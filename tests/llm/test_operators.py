@@ -14,7 +14,7 @@ from massloom.llm import chat, leaks, queries
 from massloom.llm.minhash import NearOptions, near_duplicates
 from massloom.llm.quality import judge_quality, learn_rules, text_statistics
 from massloom.llm.sharding import shard_rows
-from massloom.llm.toxicity import score_toxicity, without_toxic
+from massloom.llm.toxicity import ToxicOptions, find_voters, score_toxicity, without_toxic
 from massloom.llm.urls import UrlRule, judge_urls
 
 DOCS = "doc_id long, text string, rep string, n long, key string, bands int"
@@ -164,6 +164,32 @@ def test_toxicity(spark, sf):
     assert score_toxicity(table(spark, []), marks).count() == 0
 
 
+def test_toxicity_of_many_rare_words(spark):
+    """200 insults, one to a text, none in 1 % of the toxic ones, and beginnings whose words are rarer still."""
+    r = random.Random(2)
+    words = [f"word{i}" for i in range(200)]
+    insults = ["".join(r.choices("abcdefghijk", k=8)) for _ in range(200)]
+    rows = [(i, " ".join(r.choices(words, k=20)) + (" " + insults[i // 5 % 200] if i % 5 == 0 else "")) for i in range(12_000)]
+    rows += [(20_000 + i, " ".join(r.choices(words, k=20)) + f" zzyx{r.random()}") for i in range(60)]
+    marks = [(d, int(d % 5 == 0 or d >= 20_000)) for d, _ in rows]
+    got = score_toxicity(table(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    true = dict(marks)
+    missed = [g.doc_id for g in got if g.predicted == 0 and true[g.doc_id] and g.held_out]
+    assert not missed and not [g for g in got if g.predicted and not true[g.doc_id] and g.held_out]
+
+
+def test_copies_make_no_voters(spark):
+    """Words of one toxic text, copied with another ending each time, tell nothing, but for the three before it."""
+    r = random.Random(3)
+    words, odd = [f"word{i}" for i in range(200)], " ".join(f"odd{c}" for c in "abcdefghijklm")
+    rows = [(i, " ".join(r.choices(words, k=20)) + (" vile" if i % 10 == 0 else "")) for i in range(1000)]
+    rows += [(2000 + i, f"{odd} end{i}") for i in range(40)]
+    marks = spark.createDataFrame([(d, int(d % 10 == 0 or d >= 2000)) for d, _ in rows], "doc_id long, toxic int")
+    voters = find_voters(table(spark, rows), marks, ToxicOptions())
+    assert "vile" in voters.words and set(voters.words) <= {"vile", "oddk", "oddl", "oddm"}
+    assert not [b for b in voters.beginnings if b.startswith("odd")]
+
+
 def edits(item, text):
     """Fewest edits between ``item`` and any stretch of ``text``."""
     row = [0] * (len(text) + 1)
