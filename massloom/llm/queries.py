@@ -158,9 +158,9 @@ def op10_leaks(spark, sf_dir):
 
 @query()
 def op8_lm(spark, sf_dir):
-    from massloom.llm.lm import score_held_out
+    from massloom.llm.lm import LmOptions, score_held_out
 
-    return score_held_out(table(spark, sf_dir, "documents"))
+    return score_held_out(table(spark, sf_dir, "documents"), LmOptions(order=3))
 
 
 @query()
