@@ -168,3 +168,93 @@ def op7_lines(spark, sf_dir):
     from massloom.llm.lines import line_report
 
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_language(spark, sf_dir):
+    from massloom.llm.language import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (
+    SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic
+    FROM labels GROUP BY doc_id),
+fails AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+        len(w) < 100,
+        100 * len(list_distinct(w)) < 80 * len(w),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+        regexp_matches(text, '[#$%&*|]'),
+        doc_id > min(doc_id) OVER (PARTITION BY text)] AS f
+    FROM docs LEFT JOIN known USING (doc_id)),
+orders(filter_order) AS (
+    SELECT '' UNION ALL SELECT filter_order || l FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(l) WHERE NOT contains(filter_order, l)),
+steps AS (
+    SELECT filter_order, step::INT AS step, ascii(filter_order[step]) - 64 AS own, list_transform(split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS earlier
+    FROM orders, range(1, 6) t(step) WHERE length(filter_order) = 5),
+rows AS (
+    SELECT part, filter_order, step, own, good, toxic, f[own] AS failing, sum(m) AS n,
+        step > 1 AND len(list_filter(earlier, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) = 1 AS alone
+    FROM (SELECT part, good, toxic, f, count(*) AS m FROM fails GROUP BY ALL), steps GROUP BY ALL)
+SELECT part, filter_order, step,
+    coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failing AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND failing AND good = 1), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND failing AND toxic = 1), 0)::BIGINT AS toxic_lost,
+    sum(coalesce(sum(n) FILTER (NOT gone AND failing), 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM rows GROUP BY part, filter_order, step, own
+"""
+
+
+@query(OP12_SQL)
+def op12_audit(spark, sf_dir):
+    from massloom.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+        FROM range(256) r(i))),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents),
+each AS (SELECT doc_id, run, count(*) AS m, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY ALL),
+summed AS (
+    SELECT run, m, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) AS h
+    FROM each, crc_table),
+slipped AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM summed),
+vocabulary AS (SELECT word, sum(m)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM vocabulary, unnest(range(1, length(word) + 1)) t(i)),
+pairs AS (
+    SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.c = b.c AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN vocabulary b ON a.c = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN vocabulary b ON a.c = b.word),
+best AS (SELECT word, n, count(*) AS n_near, first(struct_pack(w := other, n := other_n) ORDER BY other_n DESC, other) AS top FROM pairs GROUP BY word, n),
+judged AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 2 * v.n THEN top.w END AS form, CASE WHEN top.n >= 2 * v.n THEN top.n END AS form_n
+    FROM vocabulary v LEFT JOIN best USING (word)),
+way AS (
+    SELECT word, word AS place, 0 AS steps FROM judged
+    UNION ALL SELECT way.word, form, steps + 1 FROM way JOIN judged j ON j.word = way.place WHERE form IS NOT NULL),
+last_place AS (SELECT word, max_by(place, steps) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN last_place USING (word)
+"""
+
+
+@query(OP13_SQL)
+def op13_spelling(spark, sf_dir):
+    from massloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), slips=97)
