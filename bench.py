@@ -17,7 +17,6 @@ from massloom.operators.digest import digest
 from massloom.operators.precursor import precursor_join
 from massloom.operators.search import score_combined, score_hyperscore, score_xcorr, search
 from massloom.plans import fixtures as fx
-from massloom.plans.registry import PLAIN
 from massloom.sources.stages import materialize
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -52,14 +51,13 @@ def main() -> None:
         return tables[name]
 
     timed("candidate_table", lambda: stage("full", lambda: build_candidates(proteins)))
-    timed("candidate_table_plain", lambda: stage("plain", lambda: build_candidates(proteins, PLAIN)))
     timed("spectra", lambda: stage("spectra", lambda: fx.spectra(spark, SF_DIR)))
-    spectra, plain = tables["spectra"], tables["plain"]
-    timed("precursor_range_join", lambda: precursor_join(spectra.drop("peaks"), tables["full"].select("cand_id", "mass")))
-    timed("hyperscore_score", lambda: written(score_hyperscore(spectra, plain)))
-    timed("xcorr_score", lambda: written(score_xcorr(spectra, plain)))
-    timed("combined_score", lambda: written(score_combined(spectra, plain)))
-    timed("search_topn", lambda: stage("psms", lambda: search(spectra, plain, retain=10)))
+    spectra, cands = tables["spectra"], tables["full"]
+    timed("precursor_range_join", lambda: precursor_join(spectra.drop("peaks"), cands.select("cand_id", "mass")))
+    timed("hyperscore_score", lambda: written(score_hyperscore(spectra, cands)))
+    timed("xcorr_score", lambda: written(score_xcorr(spectra, cands)))
+    timed("combined_score", lambda: written(score_combined(spectra, cands)))
+    timed("search_topn", lambda: stage("psms", lambda: search(spectra, cands, retain=10)))
     timed("pin_table", lambda: written(pin.pin_features(tables["psms"])))
     events = fx.event_psms(spark, SF_DIR)
     timed("qvalues", lambda: written(fdr.with_qvalue(events)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +16,36 @@ FROM_END = "xyz"
 ION_FIELDS = ("series", "z", "pos", "mz", "weight", "rank")
 
 
+def end_nano(series: str, opts: IonOptions) -> int:
+    """What the end groups of a series add to its residues."""
+    cterm = chem.nano(opts.cterm)
+    return cterm - chem.HYDROXYL + chem.HYDROGEN if series in FROM_START else cterm + 2 * chem.HYDROGEN
+
+
+def ion_shift(series: str) -> float:
+    """A series' distance from b or y."""
+    base = "b" if series in FROM_START else "y"
+    return chem.ION_SHIFT[series] - chem.ION_SHIFT[base] if series != base else 0.0
+
+
+def letter_weight(series: str, opts: IonOptions) -> np.ndarray:
+    """Weight of an ion of ``series`` by the character code of its residue."""
+    told = opts.weights.get(series) or {}
+    out = np.ones(256)
+    for letter, value in told.items():
+        if letter != "series":
+            out[ord(letter)] = value
+    return out * float(told.get("series", 1.0))
+
+
 def _ion_mz(series: Column, z: Column, nano: Column, opts: IonOptions) -> Column:
     """m/z of an ion whose residues sum to ``nano``."""
-    cterm = chem.nano(opts.cterm)
-    from_start = F.lit(cterm - chem.HYDROXYL + chem.HYDROGEN)
-    from_end = F.lit(cterm + 2 * chem.HYDROGEN)
-    ends = F.when(series.isin(*FROM_START), from_start).otherwise(from_end)
+    ends = F.when(series.isin(*FROM_START), F.lit(end_nano("b", opts))).otherwise(F.lit(end_nano("y", opts)))
     charged = (nano + ends + F.lit(chem.HYDROGEN) * (z - 1)) / F.lit(1e9)
     shift = F.lit(0.0)
     for s in opts.series:
-        base = "b" if s in FROM_START else "y"
-        if s != base:
-            shift = F.when(series == s, F.lit(chem.ION_SHIFT[s] - chem.ION_SHIFT[base])).otherwise(shift)
+        if s not in "by":
+            shift = F.when(series == s, F.lit(ion_shift(s))).otherwise(shift)
     if opts.charge_division == "standard":
         return (charged - shift) / z
     return (charged / z - shift) / z

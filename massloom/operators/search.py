@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import inspect
+import operator
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from massloom.functions import chem
+from massloom.operators.cellscores import score_by_cell
 from massloom.operators.hyperscore import hyperscore
 from massloom.operators.matching import PAIR
 from massloom.operators.precursor import CAND_NAMES, CELL, QUERY_NAMES, _renamed, cell_rows, precursor_join
@@ -24,35 +30,61 @@ FEATURES = ["score", "rawscore", "total_matched", "sum_i", "ion_frac"]
 SCORED = [*FEATURES, "xcorr", "hyperscore", *CELL]
 
 
-def _narrow(spectra: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _narrow(spectra: DataFrame, cands: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What the built-in scorers read, and what a condition on pairs needs besides."""
     extra = ["ions"] if "ions" in cands.columns else []
-    return spectra.select(*SPECTRUM_COLUMNS), cands.select(*CANDIDATE_COLUMNS, *extra)
+    s, c = SPECTRUM_COLUMNS, [*CANDIDATE_COLUMNS, *extra]
+    return (
+        spectra.select(*s, *[F.col(_source(x, QUERY_NAMES, spectra)) for x in keep if _in_side(x, s, QUERY_NAMES, spectra)]),
+        cands.select(*c, *[F.col(_source(x, CAND_NAMES, cands)) for x in keep if _in_side(x, c, CAND_NAMES, cands)]),
+    )
+
+
+def _source(name: str, names: dict[str, str], side: DataFrame) -> str:
+    """The column of ``side`` that a pair calls ``name``."""
+    return next((a for a, b in names.items() if b == name and a in side.columns), name)
+
+
+def _in_side(name: str, had: list[str], names: dict[str, str], side: DataFrame) -> bool:
+    """Whether a pair's column ``name`` is one of ``side`` and not among the columns it has anyway."""
+    source = _source(name, names, side)
+    return source in side.columns and source not in had and name not in names
+
 
+@dataclass(frozen=True)
+class PairFilter:
+    """A condition on both sides of a pair, and the columns of the pair that it reads."""
 
-def score_xcorr(spectra, cands, opts=XcorrOptions(), ions=IonOptions(), search=SearchOptions()) -> DataFrame:
-    """Xcorr of all pairs with a positive score."""
-    scored = xcorr(*cell_rows(*_narrow(spectra, cands), search), opts, ions)
+    condition: Column
+    columns: tuple[str, ...]
+
+
+def joined_xcorr(spectra, cands, opts, ions, search, pair_filter: PairFilter | None = None) -> DataFrame:
+    """Xcorr from a join of peaks and ions; ``pair_filter`` is evaluated in that join."""
+    sides = cell_rows(*_narrow(spectra, cands, pair_filter.columns if pair_filter else ()), search)
+    scored = xcorr(*sides, opts, ions, pair_filter)
     return scored.withColumn("rawscore", F.col("score"))
 
 
-def score_hyperscore(spectra, cands, opts=HyperscoreOptions(), ions=IonOptions(), search=SearchOptions()) -> DataFrame:
-    """Hyperscore of all pairs with a positive score."""
-    scored = hyperscore(*cell_rows(*_narrow(spectra, cands), search), opts, ions)
+def joined_hyperscore(spectra, cands, opts, ions, search, pair_filter: PairFilter | None = None) -> DataFrame:
+    """Hyperscore from a join of peaks and ions; ``pair_filter`` is evaluated in that join."""
+    sides = cell_rows(*_narrow(spectra, cands, pair_filter.columns if pair_filter else ()), search)
+    scored = hyperscore(*sides, opts, ions, pair_filter)
     return scored.where(F.col("score") > 0).withColumn("rawscore", F.col("score"))
 
 
-def score_combined(
-    spectra, cands, xcorr_opts=XcorrOptions(), hyper_opts=HyperscoreOptions(), ions=IonOptions(), search=SearchOptions()
+def joined_combined(
+    spectra, cands, xcorr_opts, hyper_opts, ions, search, pair_filter: PairFilter | None = None
 ) -> DataFrame:
-    """Both scores and their combination, of all pairs with a positive one.
+    """Both scores and their combination from joins of peaks and ions.
 
     The two sides are shuffled once for both scorers, and the two results are
     partitioned alike, so putting them together moves nothing.
     """
-    s, c = cell_rows(*_narrow(spectra, cands), search)
+    s, c = cell_rows(*_narrow(spectra, cands, pair_filter.columns if pair_filter else ()), search)
     values = ["score", "total_matched", "sum_i", "ion_frac"]
-    x = xcorr(s, c, xcorr_opts, ions).withColumnsRenamed({v: f"_x_{v}" for v in values})
-    h = hyperscore(s, c, hyper_opts, ions).withColumnsRenamed({v: f"_h_{v}" for v in values})
+    x = xcorr(s, c, xcorr_opts, ions, pair_filter).withColumnsRenamed({v: f"_x_{v}" for v in values})
+    h = hyperscore(s, c, hyper_opts, ions, pair_filter).withColumnsRenamed({v: f"_h_{v}" for v in values})
     both = x.join(h, PAIR, "full_outer")
     raw_x = F.coalesce(F.col("_x_score"), F.lit(0.0))
     raw_h = F.coalesce(F.col("_h_score"), F.lit(0.0))
@@ -71,6 +103,34 @@ def score_combined(
     )
 
 
+def score_xcorr(
+    spectra, cands, opts=XcorrOptions(), ions=IonOptions(), search=SearchOptions(), pair_filter: PairFilter | None = None
+) -> DataFrame:
+    """Xcorr of all pairs with a positive score, a cell at a time; pairs under a condition in a join of peaks and ions."""
+    if pair_filter is not None:
+        return joined_xcorr(spectra, cands, opts, ions, search, pair_filter)
+    return score_by_cell(*_narrow(spectra, cands), opts, None, ions, search)
+
+
+def score_hyperscore(
+    spectra, cands, opts=HyperscoreOptions(), ions=IonOptions(), search=SearchOptions(), pair_filter: PairFilter | None = None
+) -> DataFrame:
+    """Hyperscore of all pairs with a positive score; see ``score_xcorr``."""
+    if pair_filter is not None:
+        return joined_hyperscore(spectra, cands, opts, ions, search, pair_filter)
+    return score_by_cell(*_narrow(spectra, cands), None, opts, ions, search)
+
+
+def score_combined(
+    spectra, cands, xcorr_opts=XcorrOptions(), hyper_opts=HyperscoreOptions(), ions=IonOptions(), search=SearchOptions(),
+    pair_filter: PairFilter | None = None,
+) -> DataFrame:
+    """Both scores and their combination, of all pairs with a positive one, from one look at the ions."""
+    if pair_filter is not None:
+        return joined_combined(spectra, cands, xcorr_opts, hyper_opts, ions, search, pair_filter)
+    return score_by_cell(*_narrow(spectra, cands), xcorr_opts, hyper_opts, ions, search)
+
+
 SCORERS: dict[str, Callable] = {
     "xcorr": score_xcorr,
     "hyperscore": score_hyperscore,
@@ -85,8 +145,11 @@ def pairwise_scorer(score: Callable[[DataFrame], DataFrame], cand_filter=None) -
     use column expressions, pandas UDFs or ``mapInPandas``.
     """
 
-    def scorer(spectra, cands, search: SearchOptions = SearchOptions()) -> DataFrame:
-        return score(precursor_join(spectra, cands, search, cand_filter)).where(F.col("score") > 0)
+    def scorer(spectra, cands, search: SearchOptions = SearchOptions(), pair_filter: PairFilter | None = None) -> DataFrame:
+        pairs = precursor_join(spectra, cands, search, cand_filter)
+        if pair_filter is not None:
+            pairs = pairs.where(pair_filter.condition)
+        return score(pairs).where(F.col("score") > 0)
 
     return scorer
 
@@ -118,21 +181,33 @@ def search(
     scorer: str | Callable = "combined",
     opts: SearchOptions = SearchOptions(),
     retain: int | None = None,
-    cand_filter: Callable[[], Column] | Column | None = None,
+    cand_filter: Callable[[], Column | Sequence[Column]] | Column | Sequence[Column] | None = None,
     **scorer_options,
 ) -> DataFrame:
     """Peptide-spectrum matches with their features.
 
     ``retain`` keeps that many per spectrum; ``None`` keeps every match with a
-    positive score. ``cand_filter`` is a condition on the columns of a pair.
-    A condition on one side only cuts that side before anything is scored; one
-    on both sides is applied to scored pairs. Names and sequences are fetched
-    for the surviving rows only, unless such a condition needs them first.
+    positive score. ``cand_filter`` is a condition on the columns of a pair, or
+    several that must all hold. A condition on one side only cuts that side
+    before anything is scored; one on both sides is evaluated where the sides
+    meet, before anything is summed. Only a condition on scores, or one for a
+    scorer without a ``pair_filter``, is applied to scored pairs. Names and
+    sequences are fetched for the surviving rows only, unless such a condition
+    needs them first.
     """
     run = SCORERS[scorer] if isinstance(scorer, str) else scorer
-    condition = cand_filter() if callable(cand_filter) else cand_filter
-    if condition is not None:
-        spectra, cands, condition = _filter_sides(spectra, cands, condition)
+    conditions = cand_filter() if callable(cand_filter) else cand_filter
+    conditions = [] if conditions is None else [conditions] if isinstance(conditions, Column) else list(conditions)
+    before, after = [], []
+    for condition in conditions:
+        spectra, cands, left = _filter_sides(spectra, cands, condition)
+        if left is not None:
+            inside = "pair_filter" in inspect.signature(run).parameters and _resolves(_pair(spectra, cands), left)
+            (before if inside else after).append(left)
+    if before:
+        condition = functools.reduce(operator.and_, before)
+        scorer_options["pair_filter"] = PairFilter(condition, _read_by(condition, spectra, cands))
+    condition = functools.reduce(operator.and_, after) if after else None
     psms = run(spectra, cands, search=opts, **scorer_options)
     if condition is not None:
         psms = _describe(psms, spectra, cands).where(condition)
@@ -145,6 +220,27 @@ def search(
     )
 
 
+def _resolves(df: DataFrame, condition: Column) -> bool:
+    try:
+        df.select(condition).schema  # a filter would find columns that were dropped below
+    except AnalysisException:
+        return False
+    return True
+
+
+def _pair(spectra: DataFrame, cands: DataFrame) -> DataFrame:
+    """The columns of a pair, without rows."""
+    s, c = _renamed(spectra, QUERY_NAMES), _renamed(cands, CAND_NAMES)
+    new = [x for x in c.columns if x not in s.columns]
+    return spectra.sparkSession.createDataFrame([], StructType([*s.schema.fields, *(c.schema[x] for x in new)]))
+
+
+def _read_by(condition: Column, spectra: DataFrame, cands: DataFrame) -> tuple[str, ...]:
+    """The columns of a pair without which ``condition`` has no meaning."""
+    pair = _pair(spectra, cands)
+    return tuple(x for x in pair.columns if not _resolves(pair.drop(x), condition))
+
+
 def _filter_sides(
     spectra: DataFrame, cands: DataFrame, condition: Column
 ) -> tuple[DataFrame, DataFrame, Column | None]:
@@ -153,9 +249,7 @@ def _filter_sides(
     for own, other, names in ((c, s, CAND_NAMES), (s, c, QUERY_NAMES)):
         # a name that both sides or the scorers have may mean another column in a pair
         usable = [x for x in own.columns if x not in other.columns and x not in SCORED]
-        try:
-            own.select(*usable).where(condition).schema
-        except AnalysisException:
+        if not _resolves(own.select(*usable), condition):
             continue
         cut = own.where(condition).withColumnsRenamed({b: a for a, b in names.items()})
         return (spectra, cut, None) if own is c else (cut, cands, None)

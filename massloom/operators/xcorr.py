@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions import chem
 from massloom.functions.chem import bind
-from massloom.operators.matching import PAIR, ions_considered, match, mz_buckets
+from massloom.operators.matching import PAIR, carried_columns, ions_considered, match, mz_buckets
 from massloom.operators.precursor import CELL
 from massloom.options import IonOptions, XcorrOptions
 
@@ -52,6 +53,14 @@ class Binning:
         high = F.floor(F.log(F.greatest(mz, F.lit(self.knee)) / F.lit(self.knee)) / F.lit(-math.log1p(-self.rate)))
         return F.when(mz < self.knee, low).otherwise(F.lit(self.linear) + high).cast("int")
 
+    def number(self, mz: np.ndarray, res: float) -> np.ndarray:
+        """``bin`` of an array."""
+        if not self.variable:
+            return np.floor(mz / res).astype(np.int64)
+        low = np.floor(mz / self.opts.min_bin)
+        high = np.floor(np.log(np.maximum(mz, self.knee) / self.knee) / -math.log1p(-self.rate))
+        return np.where(mz < self.knee, low, self.linear + high).astype(np.int64)
+
     def low_edge(self, bin_: Column, res: Column) -> Column:
         if not self.variable:
             return bin_ * res
@@ -132,7 +141,7 @@ def xcorr_normalize(spectra: DataFrame, opts: XcorrOptions = XcorrOptions()) ->
     return df.withColumn("bins", bind(occupied, scaled)).drop("_stretch")
 
 
-def _kernel(opts: XcorrOptions) -> dict[int, float]:
+def kernel(opts: XcorrOptions) -> dict[int, float]:
     """Weight a corrected bin hands to the bin at each offset."""
     if opts.flank_length < 0:
         raise ValueError("flank_length must not be negative")
@@ -164,7 +173,7 @@ def _share(target: Column, occupied: Column, n_bins: Column, opts: XcorrOptions)
     """What one unit at bin ``occupied`` adds to the corrected spectrum at ``target``."""
     w2 = 2 * opts.window
     total = F.lit(0.0)
-    for k, weight in _kernel(opts).items():
+    for k, weight in kernel(opts).items():
         source = target - k
         inside = (source >= 0) & (source < n_bins)
         if k != 0 and opts.flank_mode == "sides":
@@ -179,7 +188,7 @@ def _share(target: Column, occupied: Column, n_bins: Column, opts: XcorrOptions)
 
 
 def _reach(opts: XcorrOptions) -> int:
-    return opts.window + 2 + max(_kernel(opts))
+    return opts.window + 2 + max(kernel(opts))
 
 
 def _in_reach(target: Column, occupied: Column, opts: XcorrOptions) -> Column:
@@ -220,9 +229,11 @@ def xcorr_correct(
 def _occupied(spectra: DataFrame, opts: XcorrOptions) -> DataFrame:
     """Occupied bins under every m/z bucket their pattern reaches."""
     grid = Binning(opts)
-    described = spectra.select(*CELL, "query_id", "charge", "mass", "min_mass", "max_mass", "peaks")
+    carried = carried_columns(spectra)
+    described = spectra.select(*CELL, "query_id", "charge", "mass", "min_mass", "max_mass", "peaks", *carried)
+    names = described.columns[len(CELL) + 6 :]
     rows = xcorr_normalize(described, opts).select(
-        *CELL, "query_id", "charge", F.col("mass").alias("query_mass"), "min_mass", "max_mass", "res", "n_bins",
+        *CELL, "query_id", "charge", F.col("mass").alias("query_mass"), "min_mass", "max_mass", *names, "res", "n_bins",
         F.inline_outer("bins").alias("occupied", "value"),
     ).where(F.col("value").isNotNull())
     low = F.greatest(F.col("occupied") - _reach(opts), F.lit(0))
@@ -240,6 +251,7 @@ def xcorr(
     cands: DataFrame,
     opts: XcorrOptions = XcorrOptions(),
     ions: IonOptions = IonOptions(),
+    pair_filter=None,
 ) -> DataFrame:
     """Score of every pair with an ion near a peak, from both sides labelled by cell.
 
@@ -254,6 +266,7 @@ def xcorr(
         _in_reach(ion_bin, F.col("occupied"), opts) & (ion_bin < F.col("n_bins")),
         opts.mz_bucket,
         ions,
+        pair_filter,
     )
     by = PAIR + ["n_bins", "occupied", "value", "ion_bin"]
     near = near.withColumn("ion_bin", ion_bin)

@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 # The cleavage rule here and the defaults below are the established settings, needed for equal results.
 TRYPSIN = r"([RK](?!P))|((?<=W)K(?=P))|((?<=M)R(?=P))"
 
+# precursor-mass bins up to max_mass, at most: what is counted per bin can be broadcast
+MOST_BINS = 500_000
+
 
 @dataclass(frozen=True)
 class DigestOptions:
@@ -63,16 +66,17 @@ class SearchOptions:
     unit: str = "ppm"  # anything else: absolute
     bin_width: float | None = None  # precursor-mass bin; None: window width at 2000 Da
     max_mass: float = 6000.0
-    # rows of one mass bin that meet in one task before the bin is split
-    spectra_per_cell: int = 20_000
-    candidates_per_cell: int = 100_000
+    # rows of either side, and pairs, that meet in one cell before a mass bin is split
+    spectra_per_cell: int = 5_000
+    candidates_per_cell: int = 50_000
+    pairs_per_cell: int = 20_000_000
     retain: int = 10
 
     def width(self) -> float:
         if self.bin_width is not None:
-            return self.bin_width
+            return max(self.bin_width, self.max_mass / MOST_BINS)
         span = self.tolerance[1] - self.tolerance[0]
-        return max(span * 1e-6 * 2000.0 if self.unit == "ppm" else span, 1e-3)
+        return max(span * 1e-6 * 2000.0 if self.unit == "ppm" else span, self.max_mass / MOST_BINS)
 
 
 @dataclass(frozen=True)

@@ -170,9 +170,6 @@ CTES = {
     "pairs": """
     SELECT s.query_id, s.charge, s.mass AS query_mass, c.cand_id, c.mass AS cand_mass, c.length, c.seq, c.modseq, c.res
     FROM spectra s JOIN cands c ON c.mass BETWEEN s.min_mass AND s.max_mass""",
-    "ppairs": """
-    SELECT s.query_id, s.charge, s.mass AS query_mass, c.cand_id, c.mass AS cand_mass, c.length, c.seq, c.modseq, c.res
-    FROM spectra s JOIN pcands c ON c.mass BETWEEN s.min_mass AND s.max_mass""",
 }
 
 
@@ -239,11 +236,8 @@ def _xcorr(pairs: str, ions: str) -> str:
 
 CTES |= {
     "ions": _ions("pairs"),
-    "pions": _ions("ppairs"),
     "matches": _matches("pairs", "ions"),
-    "pmatches": _matches("ppairs", "pions"),
     "hyper": _hyper("matches"),
-    "phyper": _hyper("pmatches"),
     "grid": """
     SELECT query_id, mass, max_mz, res, (floor(max_mz / res) + 76)::INTEGER AS n_bins,
         floor(least(floor((mass + 50) / res), floor(max_mz / res)) / 10 + 1)::INTEGER AS stretch
@@ -256,7 +250,6 @@ CTES |= {
     WHERE bin // stretch < 10
     QUALIFY v > 0.05e0 * max(v) OVER (PARTITION BY query_id)""",
     "xc": _xcorr("pairs", "ions"),
-    "pxc": _xcorr("ppairs", "pions"),
     "joint": """
     SELECT *, greatest(0e0, x, r, x * r) AS score FROM (
         SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.cand_id, b.cand_id) AS cand_id,

@@ -10,6 +10,8 @@ import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from massloom.operators import running
 from massloom.operators import search as search_ops
 from massloom.operators import spectra as spec
 from massloom.operators import xcorr as xc
+from massloom.operators.cells import cell_scorer
+from massloom.operators.cellscores import ions_of
 from massloom.operators.precursor import cell_rows, precursor_join
 from massloom.options import (
     DigestOptions,
@@ -513,7 +517,7 @@ _LENGTHS = """SELECT query_id, list_transform(v, lambda x: x / list_sum(v)) AS p
 
 @query(
     sql(
-        """SELECT query_id, count(*) AS n FROM ppairs LEFT JOIN lengths USING (query_id)
+        """SELECT query_id, count(*) AS n FROM pairs LEFT JOIN lengths USING (query_id)
         WHERE NOT (coalesce(probs[length - 5], 0) >= 0.05 AND len(list_filter(range(1, 36),
             lambda i: probs[i] > probs[length - 5] OR (probs[i] = probs[length - 5] AND i < length - 5))) >= 2)
         GROUP BY 1""",
@@ -524,7 +528,7 @@ def candidate_filter_length(spark, sf_dir):
     spectra = fx.spectra(spark, sf_dir).drop("peaks").join(_length_probs(spark, sf_dir), "query_id", "left")
     none = F.array_repeat(F.lit(0.0), learned.N_LENGTHS)
     spectra = spectra.withColumn("length_probs", F.coalesce("length_probs", none))
-    cands = materialize(_plain_candidates(spark, sf_dir)).select("cand_id", "mass", "length")
+    cands = cand.build_candidates(fx.proteins(spark, sf_dir)).select("cand_id", "mass", "length")
     pairs = precursor_join(spectra, cands, cand_filter=learned.length_filter(0.05))
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -593,17 +597,16 @@ def xcorr_flank_sides(spark, sf_dir):
     return _corrected(spark, sf_dir, "sides")
 
 
-def _plain_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    cands = materialize(_plain_candidates(spark, sf_dir))
-    spectra = materialize(fx.spectra(spark, sf_dir))
-    return spectra, cands
+def _all_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    cands = materialize(cand.build_candidates(fx.proteins(spark, sf_dir)))
+    return materialize(fx.spectra(spark, sf_dir)), cands
 
 
 @query(
-    sql("SELECT query_id, cand_id, round(score, 6) AS score, total_matched, round(sum_i, 6) AS sum_i FROM pxc")
+    sql("SELECT query_id, cand_id, round(score, 6) AS score, total_matched, round(sum_i, 6) AS sum_i FROM xc")
 )
 def xcorr_score(spark, sf_dir):
-    rows = search_ops.score_xcorr(*_plain_sides(spark, sf_dir))
+    rows = search_ops.score_xcorr(*_all_sides(spark, sf_dir))
     return rows.select(
         "query_id", "cand_id", F.round("score", 6).alias("score"), "total_matched", F.round("sum_i", 6).alias("sum_i")
     )
@@ -613,7 +616,7 @@ def xcorr_score(spark, sf_dir):
 
 
 def _matches(spark, sf_dir, opts: HyperscoreOptions) -> DataFrame:
-    sides = cell_rows(*search_ops._narrow(*_plain_sides(spark, sf_dir)))
+    sides = cell_rows(*search_ops._narrow(*_all_sides(spark, sf_dir)))
     rows = hyper.match_ions(*sides, opts)
     return rows.groupBy("query_id", "series", "z").agg(
         F.count(F.lit(1)).alias("n"), F.sum(micro(F.col("share"))).alias("share_sum")
@@ -624,21 +627,21 @@ _MATCH_SQL = """SELECT query_id, series, z::INTEGER AS z, count(*) AS n, sum(rou
     FROM ({}) GROUP BY 1, 2, 3"""
 
 
-@query(sql(_MATCH_SQL.format("SELECT DISTINCT query_id, cand_id, peak, share, series, z FROM pmatches")))
+@query(sql(_MATCH_SQL.format("SELECT DISTINCT query_id, cand_id, peak, share, series, z FROM matches")))
 def hyperscore_matches_closest(spark, sf_dir):
     return _matches(spark, sf_dir, HyperscoreOptions())
 
 
-@query(sql(_MATCH_SQL.format("SELECT query_id, cand_id, peak, share, series, z FROM pmatches")))
+@query(sql(_MATCH_SQL.format("SELECT query_id, cand_id, peak, share, series, z FROM matches")))
 def hyperscore_matches_all(spark, sf_dir):
     return _matches(spark, sf_dir, HyperscoreOptions(closest_only=False))
 
 
 @query(
-    sql("SELECT query_id, cand_id, round(log10(score), 6) AS log_score, total_matched, round(log10(sum_all * norm), 6) AS sum_i FROM phyper")
+    sql("SELECT query_id, cand_id, round(log10(score), 6) AS log_score, total_matched, round(log10(sum_all * norm), 6) AS sum_i FROM hyper")
 )
 def hyperscore_score(spark, sf_dir):
-    rows = search_ops.score_hyperscore(*_plain_sides(spark, sf_dir))
+    rows = search_ops.score_hyperscore(*_all_sides(spark, sf_dir))
     return rows.select(
         "query_id", "cand_id", F.round(F.log10("score"), 6).alias("log_score"), "total_matched", F.round("sum_i", 6).alias("sum_i")
     )
@@ -648,23 +651,18 @@ def hyperscore_score(spark, sf_dir):
     sql(
         """SELECT query_id, cand_id, round(log10(total * (CASE WHEN nb >= ny THEN factorial(least(20, nb)::INTEGER) ELSE factorial(least(20, ny)::INTEGER) END)::DOUBLE), 6) AS log_score
         FROM (SELECT query_id, cand_id, sum(share) AS total, count(*) FILTER (series = 'b') AS nb, count(*) FILTER (series = 'y') AS ny
-              FROM (SELECT DISTINCT query_id, cand_id, peak, share, series, z FROM pmatches) GROUP BY 1, 2)"""
+              FROM (SELECT DISTINCT query_id, cand_id, peak, share, series, z FROM matches) GROUP BY 1, 2)"""
     )
 )
 def hyperscore_disjoint(spark, sf_dir):
     opts = HyperscoreOptions(disjoint=True, type_best="series", max_best=1)
-    rows = search_ops.score_hyperscore(*_plain_sides(spark, sf_dir), opts)
+    rows = search_ops.score_hyperscore(*_all_sides(spark, sf_dir), opts)
     return rows.select("query_id", "cand_id", F.round(F.log10("score"), 6).alias("log_score"))
 
 
 # ---------------------------------------------------------------- search
 
 
-def _all_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    cands = materialize(cand.build_candidates(fx.proteins(spark, sf_dir)))
-    return materialize(fx.spectra(spark, sf_dir)), cands
-
-
 @query(
     sql(
         """SELECT query_id, cand_id, round(score, 6) AS score, round(x, 6) AS xcorr, round(log10(h + 1), 6) AS log_hyperscore FROM joint"""
@@ -723,6 +721,56 @@ def search_filtered(spark, sf_dir):
     return rows.select("query_id", "cand_id", "modseq", F.round("score", 6).alias("score"))
 
 
+@query(
+    sql(
+        """SELECT query_id, cand_id, modseq, round(score, 6) AS score FROM (
+            SELECT j.* FROM joint j LEFT JOIN lengths USING (query_id)
+            WHERE NOT (coalesce(probs[length - 5], 0) >= 0.05 AND len(list_filter(range(1, 36),
+                lambda i: probs[i] > probs[length - 5] OR (probs[i] = probs[length - 5] AND i < length - 5))) >= 2)
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) <= 10)
+        JOIN pairs USING (query_id, cand_id)""",
+        lengths=_LENGTHS,
+    )
+)
+def search_length_filter(spark, sf_dir):
+    """A condition on spectrum and candidate together, evaluated where they meet."""
+    spectra, cands = _all_sides(spark, sf_dir)
+    none = F.array_repeat(F.lit(0.0), learned.N_LENGTHS)
+    spectra = spectra.join(_length_probs(spark, sf_dir), "query_id", "left").withColumn("length_probs", F.coalesce("length_probs", none))
+    rows = search_ops.search(spectra, cands, retain=10, cand_filter=learned.length_filter(0.05))
+    return rows.select("query_id", "cand_id", "modseq", F.round("score", 6).alias("score"))
+
+
+def _matched_ions(spectra: pa.Table, cands: pa.Table) -> pa.Table:
+    """A user's scorer: how many pairs of a peak above 1 % and an ion are within 20 ppm."""
+    listed = ions_of(cands, IonOptions(), 3)
+    mass = cands["mass"].to_numpy()
+    found = []
+    for row in spectra.to_pylist():
+        top = max(p["intensity"] for p in row["peaks"])
+        peaks = np.array([p["mz"] for p in row["peaks"] if p["intensity"] / top > 0.01])
+        for i in np.flatnonzero((mass >= row["min_mass"]) & (mass <= row["max_mass"])):
+            ions = listed.below(i, i + 1, row["charge"]).mz
+            n = int((np.abs((peaks[:, None] - ions) / peaks[:, None] * 1e6) <= 20).sum())
+            found.append((row["query_id"], cands["cand_id"][int(i)].as_py(), float(n)))
+    columns = list(zip(*found)) or [(), (), ()]
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query_id", "cand_id", "score"])
+
+
+@query(
+    sql(
+        """SELECT query_id, cand_id, p.charge, p.length, round(query_mass, 6) AS query_mass, n AS score
+        FROM (SELECT query_id, cand_id, count(*)::DOUBLE AS n FROM matches GROUP BY 1, 2) JOIN pairs p USING (query_id, cand_id)"""
+    )
+)
+def user_cell_scorer(spark, sf_dir):
+    """A user's function over the Arrow tables of a cell."""
+    scorer = cell_scorer(_matched_ions, "score double")
+    rows = scorer(*_all_sides(spark, sf_dir))
+    return rows.select("query_id", "cand_id", "charge", "length", F.round("query_mass", 6).alias("query_mass"), "score")
+
+
 @query(
     sql(
         """SELECT title, modseq, truth, decoy, modseq = truth AS found FROM best

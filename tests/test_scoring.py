@@ -254,7 +254,7 @@ def test_planted_spectra_come_back(spark, sf):
 def test_plan_has_no_nested_loops_and_one_shuffle_per_side(sides):
     spectra, cands, _ = sides
     s, c = cell_rows(*search_ops._narrow(spectra, cands))
-    df = search_ops.score_combined(spectra, cands)
+    df = search_ops.joined_combined(spectra, cands, XcorrOptions(), HyperscoreOptions(), IonOptions(), SearchOptions())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     lines = plan.splitlines()
