@@ -1257,16 +1257,19 @@ def length_classifier(spark, sf_dir):
 # ---------------------------------------------------------------- whole runs
 
 
-@query()
+@query(sql(_SUMMARY.replace("0.3)", "0.05)").format(levels="lv_best", rows="best1"), lv_best=o.levels("best1"),
+    best1="""SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) = 1""")
+    .replace("max(cut) AS cutoff", "round(max(cut), 6) AS cutoff"))
 def stage_resume(spark, sf_dir):
-    """Search once, then report again from the stored stages with another limit."""
+    """Search once with default options, then report again from the stored stages with another limit."""
     from massloom.plans.run import RunOptions, run_stages
 
     path = _fresh(spark, "run")
     inputs = dict(proteins=fx.proteins(spark, sf_dir), spectra=fx.planted(spark, sf_dir))
     run_stages(spark, path, **inputs, stages=("candidates", "spectra", "psms"))
     run_stages(spark, path, opts=RunOptions(report=ReportOptions(fdr=0.05)), stages=("report", "pin"))
-    return report.load_report(spark, f"{path}/report", "summary")
+    rows = report.load_report(spark, f"{path}/report", "summary").drop("run_id")
+    return rows.withColumns({"overall_fdr": F.round("overall_fdr", 9), "cutoff": F.round("cutoff", 6)})
 
 
 @query(
