@@ -156,6 +156,62 @@ def mgf_roundtrip(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT (SELECT count(*) FROM proteins) AS proteins, (SELECT count(*) FROM planted) AS spectra,
+        (SELECT count(DISTINCT title) FROM top10) AS titles, (SELECT count(*) FROM top10) AS lines"""
+    )
+)
+def record_counts(spark, sf_dir):
+    """The counters of every kind of file, on files written from the tables."""
+    at = _fresh(spark, "counted")
+    fasta.write_fasta(fx.proteins(spark, sf_dir), f"{at}-fasta")
+    mgf.write_mgf(fx.planted(spark, sf_dir), f"{at}-mgf")
+    tables.write_psm_tsv(fx.event_psms(spark, sf_dir).withColumn("cand_id", F.col("psm_id")), f"{at}-psms", 10)
+    headers = spark.read.text(f"{at}-psms").where(F.startswith("value", F.lit("title\t")))
+    return fasta.count_proteins(spark, f"{at}-fasta").select(
+        F.col("n").alias("proteins"),
+        mgf.count_spectra(spark, f"{at}-mgf").scalar().alias("spectra"),
+        tables.count_titles(tables.read_psm_tsv(spark, f"{at}-psms")).scalar().alias("titles"),
+        # every file has a header of its own
+        (tables.count_lines(spark, f"{at}-psms").scalar() - headers.agg(F.count(F.lit(1))).scalar()).alias("lines"),
+    )
+
+
+@query(
+    sql(
+        """SELECT 'protein' AS kind, row_number() OVER (ORDER BY protein_id) - 1 AS number, descr AS name FROM proteins
+        UNION ALL SELECT 'spectrum', row_number() OVER (ORDER BY query_id) - 1, title FROM planted"""
+    )
+)
+def record_numbers(spark, sf_dir):
+    """Proteins and spectra written in order to several files; a record's number is its place."""
+    at = _fresh(spark, "numbered")
+    fasta.write_fasta(fx.proteins(spark, sf_dir).orderBy("protein_id"), f"{at}-fasta")
+    mgf.write_mgf(fx.planted(spark, sf_dir).orderBy("query_id"), f"{at}-mgf")
+    proteins = fasta.read_fasta(spark, f"{at}-fasta").select(F.lit("protein").alias("kind"), F.col("protein_id").alias("number"), F.col("desc").alias("name"))
+    spectra = mgf.read_mgf(spark, f"{at}-mgf").select(F.lit("spectrum").alias("kind"), F.col("query_id").alias("number"), F.col("title").alias("name"))
+    return proteins.union(spectra)
+
+
+@query(
+    sql(
+        """SELECT title, count(*) AS n, sum(score)::DOUBLE AS score_sum FROM (
+            SELECT * FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE ELSE score END AS seen
+                FROM ev_psms JOIN events ON psm_id = event_id)
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY seen DESC, psm_id) <= 10)
+        WHERE seen < 'Infinity'::DOUBLE GROUP BY title"""
+    )
+)
+def infinite_scores(spark, sf_dir):
+    """Infinite scores among the best of a spectrum are written, and dropped where the table is read."""
+    path = _fresh(spark, "infinite")
+    psms = fx.event_psms(spark, sf_dir).withColumn("cand_id", F.col("psm_id"))
+    psms = psms.withColumn("score", F.when(F.col("psm_id") % 97 == 0, F.lit(float("inf"))).otherwise(F.col("score")))
+    tables.write_psm_tsv(psms, path, 10)
+    return tables.read_psm_tsv(spark, path).groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+
+
 @query(sql("SELECT title, truth FROM planted"))
 def mgf_field_join(spark, sf_dir):
     path = _fresh(spark, "mgf")

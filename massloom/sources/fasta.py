@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.sources.ordinals import numbered
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(protein_id, desc, seq)``, one row per record.
 
     Records are split at line ends followed by ``>``, so a ``>`` inside a header
-    stays. ``desc`` is the whole header line; ``protein_id`` follows file order.
+    stays. ``desc`` is the whole header line; ``protein_id`` counts the records in file order.
     """
     records = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace("value", "^>", "")
     # a file that starts with ">" loses it here; one that does not starts with stray lines
     header = F.trim(F.regexp_extract(body, "^([^\r\n]*)", 1))
     letters = F.regexp_replace(F.regexp_replace(body, "^[^\r\n]*", ""), r"\s", "")
-    return records.select(
-        F.monotonically_increasing_id().alias("protein_id"), header.alias("desc"), letters.alias("seq")
-    ).where(F.length("desc") + F.length("seq") > 0)
+    rows = numbered(records, F.length(header) + F.length(letters) > 0, "protein_id")
+    return rows.select("protein_id", header.alias("desc"), letters.alias("seq"))
 
 
 def count_proteins(spark: SparkSession, path: str) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.sources.ordinals import numbered
+
 PEAK_LINE = r"(?m)^([0-9]\S*[ \t]+\S[^\r\n]*)"
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.option("lineSep", "END IONS").text(path)
-    return blocks.where(F.contains("value", F.lit("BEGIN IONS"))).select(
-        F.monotonically_increasing_id().alias("query_id"),
-        F.substring_index("value", "BEGIN IONS", -1).alias("value"),
-    )
+    rows = numbered(blocks, F.contains("value", F.lit("BEGIN IONS")), "query_id")
+    return rows.select("query_id", F.substring_index("value", "BEGIN IONS", -1).alias("value"))
 
 
 def _maybe(values: Column) -> Column:
@@ -27,7 +27,7 @@ def _field(key: str) -> Column:
 def read_mgf(spark: SparkSession, path: str, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """``(query_id, title, rt, charge, pepmass, peaks, meta)``, one row per spectrum.
 
-    The charge is the first whole number of its line; a spectrum without a
+    ``query_id`` counts the spectra in file order. The charge is the first whole number of its line; a spectrum without a
     readable charge or precursor has nulls there and falls to the charge and
     mass filters. A spectrum without a title is named after its ``query_id``. ``extra_keys`` become ``mgf:KEY`` entries of ``meta``.
     """

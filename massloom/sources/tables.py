@@ -36,6 +36,14 @@ def read_psm_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PSM_SCHEMA).options(**_TSV).csv(path).where(finite())
 
 
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_titles(psms: DataFrame) -> DataFrame:
+    return psms.agg(F.countDistinct("title").alias("n"))
+
+
 def decimal_text(value: Column) -> Column:
     """A number in positional notation with at most 12 decimals and at least one."""
     plain = F.regexp_replace(F.format_string("%.12f", value.cast("double")), "0+$", "")

@@ -78,3 +78,29 @@ def test_external_scores(spark):
 def test_positional_numbers(spark):
     df = spark.createDataFrame([(1.0,), (0.1234567890123456,), (1e-20,), (12345678.5,)], "v double")
     assert [r[0] for r in df.select(tables.decimal_text(F.col("v"))).collect()] == ["1.0", "0.123456789012", "0.0", "12345678.5"]
+
+
+def test_numbers_are_places_in_the_files(spark, tmp_path):
+    """However the files are split and packed into tasks."""
+    names, sizes = [], [300, 1, 0, 47, 900]
+    for i, n in enumerate(sizes):
+        own = [f"p{i}_{k}" for k in range(n)]
+        names += own
+        body = "".join(f">{x}\nACDE\n" + "FGHIKL" * (len(x) % 5 * 9) + "\n" for x in own) + "\n"
+        write(tmp_path, f"f{i}.fasta", body)
+        mgf_body = "".join(f"# c\nBEGIN IONS\nTITLE={x}\nPEPMASS=5{len(x)}.5\nCHARGE=2+\n" + "100.5 1\n" * (len(x) % 4 * 11) + "END IONS\n" for x in own)
+        write(tmp_path, f"f{i}.mgf", mgf_body + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for most, cost in (("128m", "4m"), ("1000b", "0"), ("7000b", "2000"), ("333b", "10")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            proteins = fasta.read_fasta(spark, str(tmp_path / "*.fasta"))
+            spectra = mgf.read_mgf(spark, str(tmp_path / "*.mgf"))
+            assert [r["desc"] for r in sorted(proteins.collect(), key=lambda r: r["protein_id"])] == names
+            assert sorted(r["protein_id"] for r in proteins.collect()) == list(range(len(names)))
+            assert {r["query_id"]: r["title"] for r in spectra.collect()} == dict(enumerate(names))
+            assert spectra.where("charge = 2 and query_id >= 348").count() == 900
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
