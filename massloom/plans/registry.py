@@ -1,7 +1,8 @@
 """Registered queries: the engine's operators on the driver's tables, each with its SQL.
 
-Every query reads whole tables and whole texts. Large results are reduced to
-counts and checksums per group; the work behind them is not.
+Every query reads whole tables; those on spectra see the one fragment that the
+fixtures plant from each text. Large results are reduced to counts and checksums
+per group; the work behind them is not.
 """
 
 from __future__ import annotations
