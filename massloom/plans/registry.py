@@ -1315,7 +1315,9 @@ def length_classifier(spark, sf_dir):
 
 
 @query(sql(_SUMMARY.replace("0.3)", "0.05)").format(levels="lv_best", rows="best1"), lv_best=o.levels("best1"),
-    best1="""SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) = 1""")
+    # a report breaks ties by the number of the match
+    best1=f"""SELECT * FROM best QUALIFY row_number() OVER (
+        PARTITION BY title ORDER BY score DESC, {o._stable_id("query_id || '|' || cand_id")}) = 1""")
     .replace("max(cut) AS cutoff", "round(max(cut), 6) AS cutoff"))
 def stage_resume(spark, sf_dir):
     """Search once with default options, then report again from the stored stages with another limit."""
