@@ -23,12 +23,21 @@ def score_table(
 
     Rows of equal score share the ratio at the end of their tie.
     """
-    by = list(by)
-    counts = psms.groupBy(*by, score).agg(
+    return levels_of(value_counts(psms, [*by, score], decoy), score, by, descending)
+
+
+def value_counts(psms: DataFrame, keys: list[str], decoy: str = "decoy") -> DataFrame:
+    """``n, targets, decoys`` of each combination of ``keys``."""
+    return psms.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(~F.col(decoy), 1)).alias("targets"),
         F.count(F.when(F.col(decoy), 1)).alias("decoys"),
     )
+
+
+def levels_of(counts: DataFrame, score: str = "score", by: list[str] | tuple[str, ...] = (), descending: bool = True) -> DataFrame:
+    """``score_table`` from the counts of each score."""
+    by = list(by)
     ran = cumulate(counts, score, ["n", "targets", "decoys"], by, descending)
     ratio = F.least(F.lit(1.0), F.col("cum_decoys") / F.greatest(F.col("cum_targets"), F.lit(1)))
     return suffix_min(ran.withColumn("fdr", ratio), score, "fdr", "q", by, descending).drop("_range")
@@ -109,9 +118,12 @@ def threshold(levels: DataFrame, limit: float) -> DataFrame:
     return levels.where(F.col("q") <= limit).agg(F.min("score").alias("cutoff"))
 
 
-def fdr_summary(psms: DataFrame, opts: ReportOptions = ReportOptions()) -> DataFrame:
-    """One row: sizes, overall ratio, and counts above the score cutoff at the FDR limit."""
-    levels = score_table(psms)
+def fdr_summary(psms: DataFrame, opts: ReportOptions = ReportOptions(), levels: DataFrame | None = None) -> DataFrame:
+    """One row: sizes, overall ratio, and counts above the score cutoff at the FDR limit.
+
+    ``levels`` is the score table of ``psms``, where it is there already.
+    """
+    levels = score_table(psms) if levels is None else levels
     rows = psms.withColumn("cutoff", threshold(levels, opts.fdr).scalar())
     passed = F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False))
     n_targets, n_decoys = F.count(F.when(~F.col("decoy"), 1)), F.count(F.when(F.col("decoy"), 1))

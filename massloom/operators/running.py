@@ -80,8 +80,13 @@ def suffix_min(
 
 def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Exact percentiles, linear between neighbours: one row per group and probability."""
-    by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return percentiles_of(counts, value, probs, by)
+
+
+def percentiles_of(counts: DataFrame, value: str, probs: list[float], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The same from ``n``, the number of rows of each group and distinct value."""
+    by = list(by)
     ranked = cumulate(counts, value, ["n"], by, descending=False)
     if by:
         ranked = ranked.join(counts.groupBy(*by).agg(F.sum("n").alias("_size")), by)

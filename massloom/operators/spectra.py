@@ -6,11 +6,16 @@ Operators that can meet spectra of any size work on peak rows
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from massloom.functions import chem
 from massloom.options import QueryOptions, SearchOptions
+from massloom.sources.stages import workspace
 
 
 def with_tolerance(spectra: DataFrame, opts: SearchOptions = SearchOptions()) -> DataFrame:
@@ -92,14 +97,34 @@ def dense_bins(peaks: DataFrame, size: int = 20_000) -> DataFrame:
     )
 
 
-def to_vector(bins: DataFrame, size: int) -> DataFrame:
-    """Binned spectra as ML vectors; a vector holds at most ``size`` entries."""
-    from pyspark.ml.functions import array_to_vector
+def spectrum_arrays(bins: DataFrame, *keys: str) -> DataFrame:
+    """One row per ``keys``: ``entries``, its (bin, intensity) in the order of bins; nulls are left out."""
+    entry = F.struct(F.col("bin").cast("int").alias("bin"), F.col("intensity").cast("double").alias("intensity"))
+    known = bins.where(F.col("bin").isNotNull() & F.col("intensity").isNotNull())
+    return known.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def sparse_vectors(bins: DataFrame, size: int, spectra: DataFrame, *extra: str) -> DataFrame:
+    """``(query_id, features)`` for every row of ``spectra``: its bins below ``size`` as a sparse ML vector, the
+    ``extra`` columns of ``spectra`` as entries behind them.
 
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("bin"), F.col("intensity").cast("double").alias("v"))))
-    at = F.col("pairs")["bin"]
-    # zeros up to each bin, its value, and zeros after the last
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    filled = F.transform("pairs", lambda p, i: F.concat(zeros(p["bin"] - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.array(p["v"])))
-    dense = F.concat(F.flatten(filled), zeros(F.lit(size) - F.element_at(at, -1) - 1))
-    return bins.groupBy("query_id").agg(pairs.alias("pairs")).select("query_id", array_to_vector(dense).alias("features"))
+    A vector is as long as its spectrum has filled bins, whatever ``size``. Bins are unique in a spectrum, as
+    ``bin_spectra`` gives them; zeros and nulls are left out, and a spectrum without bins has the extra entries only.
+    The table is written in the layout of the vector type and read back as vectors, so no row passes a function.
+    """
+    arrays = spectrum_arrays(bins.where(F.col("bin").between(0, size - 1)), "query_id")
+    rows = spectra.select("query_id", *extra).join(arrays, "query_id", "left")
+    behind = [F.struct(F.lit(size + n).alias("bin"), F.col(c).cast("double").alias("intensity")) for n, c in enumerate(extra)]
+    none = F.array().cast("array<struct<bin:int,intensity:double>>")
+    every = F.concat(F.coalesce("entries", none), F.array(*behind) if behind else none)
+    rows = rows.select("query_id", F.filter(every, lambda x: F.coalesce(x["intensity"], F.lit(0.0)) != 0).alias("e"))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size + len(extra)).alias("size"),
+        F.col("e")["bin"].alias("indices"),
+        F.col("e")["intensity"].alias("values"),
+    )
+    spark = bins.sparkSession
+    path = f"{workspace(spark)}/vectors-{uuid.uuid4().hex}"
+    rows.select("query_id", vector.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([spectra.schema["query_id"], StructField("features", VectorUDT())])).parquet(path)

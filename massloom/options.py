@@ -132,4 +132,5 @@ class ReportOptions:
 class PinOptions:
     max_scores: int = 10
     use_extra: bool = False
+    extra_keys: tuple[str, ...] = ()  # entries of the spectrum's metadata that become features with use_extra
     decoy_prefix: str = "DECOY_"

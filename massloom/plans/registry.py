@@ -35,6 +35,7 @@ from massloom.options import (
     DigestOptions,
     HyperscoreOptions,
     IonOptions,
+    PinOptions,
     QueryOptions,
     ReportOptions,
     SearchOptions,
@@ -395,22 +396,49 @@ def decoy_peptide_reverse(spark, sf_dir):
     )
 
 
+_LETTERS = "array_to_string(list_sort(string_split({}, '')), '')"
+
+
+def _sorted_letters(text) -> Column:
+    return F.array_join(F.array_sort(F.split(text, "")), "")
+
+
 @query(
     sql(
-        """SELECT protein_id, length(seq)::INTEGER AS length, length(seq) - length(replace(seq, 'A', '')) AS a,
-        length(seq) - length(replace(seq, 'K', '')) AS k, length(seq) - length(replace(seq, 'W', '')) AS w FROM proteins"""
+        f"""SELECT protein_id, length(seq)::INTEGER AS length, md5({_LETTERS.format("seq")}) AS letters, length(seq) > 20 AS moved FROM proteins"""
     )
 )
 def decoy_shuffle(spark, sf_dir):
+    """Whole proteins shuffled: every letter is there as often, and (beyond 20 letters) not where it was."""
     rows = fx.proteins(spark, sf_dir)
-    rows = rows.withColumn("seq", dig.shuffle_letters(F.col("seq"), F.col("protein_id"), 0))
+    rows = rows.withColumn("shuffled", dig.shuffle_letters(F.col("seq"), F.col("protein_id"), 0))
+    return rows.select(
+        "protein_id", F.length("shuffled").alias("length"), F.md5(_sorted_letters("shuffled")).alias("letters"),
+        ((F.length("seq") > 20) & (F.col("shuffled") != F.col("seq"))).alias("moved"),
+    )
 
-    def count_of(aa: str) -> Column:
-        return (F.length("seq") - F.length(F.replace("seq", F.lit(aa), F.lit("")))).cast("bigint")
 
-    return rows.select(
-        "protein_id", F.length("seq").alias("length"), count_of("A").alias("a"), count_of("K").alias("k"), count_of("W").alias("w")
+@query(
+    sql(
+        f"""SELECT protein_id, count(DISTINCT w) AS n, sum(DISTINCT {o._stable_id("w")} % 1000003)::BIGINT AS checksum, true AS moved
+        FROM (SELECT protein_id, {_LETTERS.format("seq[1:length(seq) - 1]")} || seq[length(seq)] AS w
+            FROM frags WHERE length(seq) BETWEEN 7 AND 40) GROUP BY 1"""
     )
+)
+def decoy_peptide_shuffle(spark, sf_dir):
+    """Fragments shuffled before their last letter; of all, at most one in twenty may come out as some target of its protein."""
+    opts = DigestOptions(missed_cleavages=0, decoy_type="peptide", decoy_method="shuffle")
+    proteins = fx.proteins(spark, sf_dir)
+    decoys = materialize(dig.digest_decoys(proteins, opts))
+    targets = dig.digest(proteins, opts).select("protein_id", "seq").distinct()
+    same = decoys.join(targets, ["protein_id", "seq"], "left_semi").agg(F.count(F.lit(1))).scalar()
+    whole = decoys.agg(F.count(F.lit(1))).scalar()
+    n = F.length("seq")
+    rows = decoys.withColumn("w", F.concat(_sorted_letters(F.left("seq", n - 1)), F.right("seq", F.lit(1))))
+    return rows.groupBy("protein_id").agg(
+        F.countDistinct("w").alias("n"),
+        F.sum_distinct(F.pmod(chem.stable_id(F.col("w")), F.lit(1_000_003))).alias("checksum"),
+    ).withColumn("moved", same * 20 <= whole)
 
 
 @query(
@@ -940,12 +968,12 @@ def score_deciles(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _by_decile(column: str, include_last: bool = False) -> str:
+def _by_decile(column: str, include_last: bool = False, panel: str = "") -> str:
     keep = "" if include_last else "WHERE bin < 9"
     return sql(
-        f"""SELECT bin::INTEGER AS bin, decoy, count(*) AS n, min(score) AS min_score, round(avg(score), 6) AS mean_score, max(score) AS max_score
+        f"""SELECT {panel} bin::INTEGER AS bin, decoy, count(*) AS n, min(score) AS min_score, round(avg(score), 6) AS mean_score, max(score) AS max_score
         FROM (SELECT *, len(list_filter((SELECT quantile_cont({column}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM top1),
-            lambda e: e <= {column})) AS bin FROM top1) {keep} GROUP BY 1, 2"""
+            lambda e: e <= {column})) AS bin FROM top1) {keep} GROUP BY ALL"""
     )
 
 
@@ -978,6 +1006,53 @@ def score_by_charge(spark, sf_dir):
     return _distribution(report.scores_by_charge(_top1(spark, sf_dir))).withColumnRenamed("charge", "bin")
 
 
+_PANELS = " UNION ALL ".join(
+    [f"({_by_decile(c, panel=repr(c) + ' AS panel,')})" for c in report.DECILE_PANELS]
+    + [
+        "(%s)" % sql(
+            f"""SELECT {p!r} AS panel, {b} AS bin, decoy, count(*) AS n, min(score) AS min_score, round(avg(score), 6) AS mean_score,
+            max(score) AS max_score FROM top1 GROUP BY ALL"""
+        )
+        for p, b in (("charge", "charge"), ("all", "0"))
+    ]
+)
+
+
+@query(_PANELS)
+def report_panels(spark, sf_dir):
+    """All panels of a whole report; the saved tables are put together again."""
+    psms = fx.event_psms(spark, sf_dir).withColumn("length", F.length("seq"))
+    path = _fresh(spark, "report")
+    report.save_report(report.report_tables(psms), path, "one")
+    parts = [
+        report.load_report(spark, path, f"scores_by_{name}").select(F.lit(panel).alias("panel"), "*")
+        for panel, name in (("score", "score"), ("length", "length"), ("query_mass", "mass"), ("charge", "charge"))
+    ]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    total = everything.where("panel = 'charge'").groupBy("decoy").agg(
+        F.sum("n").alias("n"), F.min("min_score").alias("min_score"),
+        (F.sum(F.col("mean_score") * F.col("n")) / F.sum("n")).alias("mean_score"), F.max("max_score").alias("max_score"),
+    )
+    total = total.join(report.load_report(spark, path, "score_quantiles").select("decoy"), "decoy")
+    total = total.select(F.lit("all").alias("panel"), F.lit(0).alias("bin"), "decoy", "n", "min_score", "mean_score", "max_score")
+    return _distribution(everything.select(*total.columns).unionByName(total))
+
+
+@query(
+    sql(
+        """SELECT run_id, decoy, bin, round(lo + (hi - lo) / 20e0 * bin, 6) AS low, count(*) AS n FROM (
+            SELECT *, least(19, floor((v - lo) / ((hi - lo) / 20e0)))::INTEGER AS bin
+            FROM (SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM two)) GROUP BY ALL""",
+        two="""SELECT 'a' AS run_id, decoy, score::DOUBLE AS v FROM top1 UNION ALL
+            SELECT 'b', decoy, score / 2 + total_matched FROM top1""",
+    )
+)
+def compare_histograms(spark, sf_dir):
+    rows = _top1(spark, sf_dir)
+    runs = {"a": rows, "b": rows.withColumn("score", F.col("score") / 2 + F.col("total_matched"))}
+    return report.compare_histograms(runs, bins=20).withColumn("low", F.round("low", 6))
+
+
 @query(
     sql(
         """SELECT min(score) AS min_score, max(score) AS max_score, min(length) AS min_length, max(length) AS max_length,
@@ -1089,6 +1164,20 @@ def external_scores_import(spark, sf_dir):
     return out.select("psm_id", "title", "modseq", "score")
 
 
+@query(
+    sql(
+        """SELECT title AS "PSMId", modseq AS "Peptide", (query_id % 5)::DOUBLE AS "mgf:IONS", 0e0 AS "mgf:NOTE", score FROM top10"""
+    )
+)
+def pin_extra(spark, sf_dir):
+    """Metadata of spectra as features: a number as text, and a text that is none."""
+    psms = fx.event_psms(spark, sf_dir).withColumn("cand_id", F.col("psm_id"))
+    entries = [F.lit("mgf:IONS"), F.pmod("query_id", F.lit(5)).cast("string"), F.lit("mgf:NOTE"), F.lit("none")]
+    opts = PinOptions(use_extra=True, extra_keys=("mgf:IONS", "mgf:NOTE"))
+    rows = pin_ops.pin_features(psms.withColumn("meta", F.create_map(*entries)), opts)
+    return rows.select("PSMId", "Peptide", "mgf:IONS", "mgf:NOTE", "score")
+
+
 _UNPIVOT = """SELECT feature, direction, value * direction AS value, decoy FROM (
     SELECT decoy, unnest(['score', 'charge', 'total_matched']) AS feature,
         unnest([score, charge::DOUBLE, total_matched::DOUBLE]) AS value FROM top10), (SELECT unnest([1, -1]) AS direction)"""
@@ -1118,30 +1207,65 @@ def _search_pin(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return psms, pin, truth
 
 
-@query()
+def _of_matches(rescored: DataFrame, pin: DataFrame) -> DataFrame:
+    """With ``is_match``: whether the row is a match of that spectrum, with its label."""
+    known = pin.select("PSMId", "Peptide", "Label").distinct().withColumn("is_match", F.lit(True))
+    return rescored.join(known, ["PSMId", "Peptide", "Label"], "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+
+
+# what must hold of scores that no SQL can learn: who has one, what it belongs to, and where it lies
+@query(sql('SELECT title AS "PSMId", count(*) AS n_matches, true AS is_match, true AS in_unit FROM best GROUP BY 1'))
 def rf_rescore(spark, sf_dir):
     psms, pin, _ = _search_pin(spark, sf_dir)
-    return rescoring.rf_rescore(pin)
+    rows = _of_matches(rescoring.rf_rescore(pin), pin)
+    sizes = pin.groupBy("PSMId").agg(F.count(F.lit(1)).alias("n_matches"))
+    return rows.join(sizes, "PSMId").select("PSMId", "n_matches", "is_match", F.col("new_score").between(0, 1).alias("in_unit"))
+
 
+_FOLD = f"({o._stable_id('title')} % 10)::INTEGER"
 
-@query()
+
+@query(sql(f"SELECT {_FOLD} AS fold, count(*) AS n_rows, true AS within FROM best GROUP BY 1"))
 def rf_train(spark, sf_dir):
+    """Folds by title, with the rows held out of each and whether no more than those were identified."""
     _, pin, truth = _search_pin(spark, sf_dir)
-    return rescoring.train_rf(pin, truth)[2]
+    counts = rescoring.train_rf(pin, truth)[1]
+    sizes = pin.groupBy(rescoring.fold_of(F.col("PSMId"), 10).alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.join(counts, "fold", "left").select("fold", "n_rows", F.col("n").between(0, F.col("n_rows")).alias("within"))
+
 
+@query(sql('SELECT DISTINCT title AS "PSMId", true AS is_match, true AS blended, true AS same_when_loaded FROM best'))
+def rescorer_blend(spark, sf_dir):
+    """A forest trained on the truth, saved, loaded, and blended with one tuned on the data."""
+    _, pin, truth = _search_pin(spark, sf_dir)
+    fitted, _ = rescoring.train_rf(pin, truth)
+    path = _fresh(spark, "forest")
+    fitted.save(path)
+    loaded = rescoring.TrainedForest.load(spark, path)
+    rows = _of_matches(rescoring.rf_rescore(pin, loaded, parts=True), pin)
+    before = fitted.probability(fitted.scaled(pin), "fitted").select("PSMId", "Peptide", "fitted")
+    mixed = F.lit(0.75) * F.col("base") + F.lit(0.25) * F.col("tuned")
+    return rows.join(before, ["PSMId", "Peptide"]).select(
+        "PSMId", "is_match",
+        (F.abs(F.col("new_score") - mixed) < 1e-12).alias("blended"),
+        (F.abs(F.col("base") - F.col("fitted")) < 1e-12).alias("same_when_loaded"),
+    )
 
-@query()
+
+@query(sql("SELECT psm_id, title, modseq, true AS in_unit, true AS auc_known FROM top10"))
 def linear_rescore(spark, sf_dir):
     psms = fx.event_psms(spark, sf_dir).withColumn("length", F.length("seq")).withColumn("cand_id", F.col("psm_id"))
     scored, auc = rescoring.linear_rescore(psms)
-    return scored.select("psm_id", "title", "modseq", F.round("score", 6).alias("score"), F.lit(round(auc, 6)).alias("auc"))
+    return scored.select(
+        "psm_id", "title", "modseq", F.col("score").between(0, 1).alias("in_unit"), F.lit(0.0 <= auc <= 1.0).alias("auc_known")
+    )
 
 
-@query()
+@query(sql("SELECT title, modseq, decoy, true AS scored FROM best"))
 def semi_supervised_rescore(spark, sf_dir):
     psms, pin, _ = _search_pin(spark, sf_dir)
-    rescored = rescoring.semi_supervised_rescore(pin)
-    return rescoring.apply_scores(psms, rescored).select("title", "modseq", "decoy", F.round("score", 6).alias("score"))
+    rescored = rescoring.apply_scores(psms, rescoring.semi_supervised_rescore(pin))
+    return rescored.select("title", "modseq", "decoy", (F.abs("score") < float("inf")).alias("scored"))
 
 
 # ---------------------------------------------------------------- learned features
@@ -1297,18 +1421,51 @@ def peptide_embedding(spark, sf_dir):
     )
 
 
-@query()
+_LENGTH_BINS = """SELECT query_id, bin, sqrt(s / max(s) OVER (PARTITION BY query_id)) AS v FROM (
+    SELECT query_id, round_even(mz / 0.1e0, 0)::INTEGER AS bin, sum(intensity) AS s FROM peaks JOIN spectra USING (query_id)
+    WHERE round_even(mz / 0.1e0, 0) < 20000 GROUP BY 1, 2)"""
+
+
+@query(
+    sql(
+        """SELECT query_id, 20001 AS size, count(*)::INTEGER + 1 AS filled, sum(bin)::BIGINT + 20000 AS places,
+        round(sum(v), 6) AS total, round(max(mass) / 2000, 9) AS last FROM lbins JOIN spectra USING (query_id) GROUP BY 1""",
+        lbins=_LENGTH_BINS,
+    )
+)
+def length_vectors(spark, sf_dir):
+    """The sparse vectors length models learn from, as their entries."""
+    v = F.unwrap_udt("features")
+    rows = learned.length_vectors(materialize(fx.spectra(spark, sf_dir))).select("query_id", v.alias("v"))
+    sums = F.aggregate(F.col("v.values"), F.lit(0.0), lambda a, x: a + x) - F.element_at("v.values", -1)
+    return rows.select(
+        "query_id", F.col("v.size").alias("size"), F.size("v.indices").alias("filled"),
+        F.aggregate(F.col("v.indices"), F.lit(0).cast("long"), lambda a, x: a + x).alias("places"),
+        F.round(sums, 6).alias("total"), F.round(F.element_at("v.values", -1), 9).alias("last"),
+    )
+
+
+@query(
+    sql(
+        """SELECT query_id, 35 AS n, true AS sums_to_one, true AS in_unit FROM spectra
+        JOIN (SELECT protein_id AS query_id, seq FROM picked) USING (query_id) WHERE length(seq) BETWEEN 6 AND 40"""
+    )
+)
 def length_classifier(spark, sf_dir):
+    """Lengths from 20,000 bins and the mass, by a classifier with its default iterations."""
     from pyspark.ml.classification import LogisticRegression
 
     spectra = materialize(fx.spectra(spark, sf_dir))
     labelled = spectra.select("query_id", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")).alias("seq"))
     rows = learned.length_training_rows(labelled)
-    bins = spec.bin_spectra(spec.peak_rows(spectra), 10.0, 200, root=True)
-    data = materialize(spec.to_vector(bins, 200).join(rows, "query_id"))
-    model = LogisticRegression(weightCol="weight", maxIter=5).fit(data.where("split = 'train' and weight is not null"))
+    data = materialize(learned.length_vectors(spectra).join(rows, "query_id"))
+    model = LogisticRegression(weightCol="weight").fit(data.where("split = 'train' and weight is not null"))
     out = learned.predict_lengths(data.select("query_id", "features"), model)
-    return out.select("query_id", F.size("length_probs").alias("n"), F.round(F.array_max("length_probs"), 4).alias("top"))
+    total = F.aggregate("length_probs", F.lit(0.0), lambda x, y: x + y)
+    return out.select(
+        "query_id", F.size("length_probs").alias("n"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.forall("length_probs", lambda p: p.between(0, 1)).alias("in_unit"),
+    )
 
 
 # ---------------------------------------------------------------- whole runs
@@ -1333,10 +1490,10 @@ def stage_resume(spark, sf_dir):
 
 @query(
     sql(
-        """SELECT title, modseq, round(closeness + 1.5, 6) AS score, 1.5e0 AS extra_feature FROM (
+        """SELECT title, modseq, round(3 * closeness + 1.5, 6) AS score, 1.5e0 AS extra_feature, n_peaks FROM (
             SELECT query_id, modseq, 1 / (1 + abs(cand_mass - query_mass)) AS closeness FROM pairs WHERE length(seq) > 7
             QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, cand_id) <= 10)
-        JOIN spectra USING (query_id)"""
+        JOIN spectra USING (query_id) JOIN (SELECT query_id, count(*)::INTEGER AS n_peaks FROM peaks GROUP BY 1) USING (query_id)"""
     )
 )
 def hooks_roundtrip(spark, sf_dir):
@@ -1356,6 +1513,11 @@ def hooks_roundtrip(spark, sf_dir):
         )
         return cands.withColumn("ions", F.array(ion))
 
+    def user_rescore(psms: DataFrame, pin: DataFrame) -> DataFrame:
+        user = pin.select(F.col("PSMId").alias("title"), F.col("Peptide").alias("modseq"), "user_feature")
+        new = F.col("score") + F.col("extra_feature") + F.col("user_feature")
+        return psms.join(user, ["title", "modseq"]).withColumn("score", new).select(*psms.columns)
+
     scorer = search_ops.pairwise_scorer(plain_score)
     hooks = Hooks(
         proteins=lambda p, opts: dig.digest(p, opts),
@@ -1368,10 +1530,10 @@ def hooks_roundtrip(spark, sf_dir):
         scorer=scorer,
         post_search=lambda p: p.withColumn("extra_feature", F.col("cand_rt") / F.col("length")),
         pin_features=lambda p: p.withColumn("user_feature", F.col("score") * 2),
-        rescore=lambda psms, pin: psms.withColumn("score", F.col("score") + F.col("extra_feature")),
+        rescore=user_rescore,
     )
     done = run_stages(
         spark, _fresh(spark, "run"), fx.proteins(spark, sf_dir), fx.planted(spark, sf_dir),
         RunOptions(), ("candidates", "spectra", "psms", "pin", "rescored"), hooks,
     )
-    return done["rescored"].select("title", "modseq", F.round("score", 6).alias("score"), "extra_feature")
+    return done["rescored"].select("title", "modseq", F.round("score", 6).alias("score"), "extra_feature", "n_peaks")

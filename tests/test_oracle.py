@@ -6,7 +6,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
 
 SLOW = {
-    "psm_features", "search_topn", "search_best", "rf_rescore", "rf_train", "semi_supervised_rescore", "stage_resume",
+    "psm_features", "search_topn", "search_best", "rf_rescore", "rf_train", "rescorer_blend", "semi_supervised_rescore", "stage_resume",
     "length_classifier", "precursor_range_join", "combined_score",
 }
 
