@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.operators.rescoring import apply_scores, semi_supervised_rescore
+from massloom.operators.rescoring import apply_scores, semi_supervised_rescore, train_rf
 from massloom.options import DigestOptions, PinOptions, QueryOptions, ReportOptions, SearchOptions
 from massloom.plans import fixtures as fx
 from massloom.plans.hooks import Hooks
@@ -86,6 +86,24 @@ def test_a_stage_made_again_makes_later_ones_stale(spark, sf, tmp_path):
     assert done["rescored"].count() == done["psms"].count() == 0
 
 
+def test_a_saved_forest_is_blended_in(spark, stored, tmp_path):
+    folder, _, spectra, done = stored
+    truth = spectra.select("title", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")).alias("truth"))
+    path = str(tmp_path / "forest")
+    train_rf(done["pin"], truth, folds=2, trees=2)[0].save(path)
+    blended = opts(rescore="random_forest", base_forest=path)
+    out = run_stages(spark, folder, opts=blended, stages=("rescored",))["rescored"]
+    assert out.columns == done["psms"].columns and out.where("score not between 0 and 1").isEmpty()
+    assert 0 < out.count() == out.select("title").distinct().count()
+    # another forest under the same path makes the stage stale, and so does none
+    train_rf(done["pin"], truth, folds=2, trees=3)[0].save(path)
+    for other in (blended, opts(rescore="random_forest")):
+        with pytest.raises(StaleStage, match="stage rescored"):
+            run_stages(spark, folder, opts=other, stages=("rescored_report",))
+    with pytest.raises(ValueError, match="random_forest"):
+        run_stages(spark, folder, opts=opts(base_forest=path), stages=("rescored",))
+
+
 def test_an_unfinished_stage_is_refused(spark, tmp_path):
     store = StageStore(spark, str(tmp_path))
 
