@@ -3,7 +3,8 @@
 An occurrence of an item of m characters with at most k edits shares at least ``m + 1 - q - k * q`` q-grams with it,
 and all of them lie on diagonals (place in the text less place in the item) at most 2k apart. Bands are 4k + 2
 diagonals wide and begin every 2k + 1, so one band holds them all. Bands with fewer shared q-grams are left; in the
-others the item is aligned within the band.
+others the item is aligned within the band. q is 8, or less for items so short that an occurrence with all its edits
+need not share 8 characters in a row.
 
 Texts and items are compared in lower case (A-Z and the letters of Latin-1) with white space as single blanks.
 Documents are scanned once for each block of items; nothing is shuffled.
@@ -21,13 +22,17 @@ from pyspark.sql import functions as F
 
 from massloom.llm.text import chunks
 
-# q characters as one 64-bit number
+# the longest q-grams: eight characters as one 64-bit number
 Q = 8
+# items of fewer characters match nothing
+SHORTEST = 8
 # characters of items held by a worker at a time; a larger benchmark is scanned for in blocks of this size
 BLOCK_CHARS = 2_000_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+# places of q-grams that are counted at a time
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,46 +55,32 @@ def fold(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return codes, np.searchsorted(place, at), place
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """One number for the q characters from each place on; equal characters give equal numbers."""
-    if len(codes) < Q:
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    low = np.zeros(len(codes), np.uint8)
-    low[:] = (codes ^ (codes >> np.uint32(8))) & np.uint32(0xFF)
-    return np.ndarray((len(codes) - Q + 1,), "<u8", low.tobytes(), strides=(1,)).copy()
+    low = np.zeros(len(codes) + Q - q, np.uint8)
+    low[: len(codes)] = (codes ^ (codes >> np.uint32(8))) & np.uint32(0xFF)
+    grams = np.ndarray((len(codes) - q + 1,), "<u8", low.tobytes(), strides=(1,))
+    return grams & np.uint64((1 << 8 * q) - 1)
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-class Items:
-    """q-grams of benchmark items and where they occur. Items shorter than q characters match nothing."""
+class _Grams:
+    """The q-grams of some items and where they occur, for one q."""
 
-    def __init__(self, texts: list[str], opts: LeakOptions):
-        self.codes, grams, item, at = [], [], [], []
-        for i, text in enumerate(texts):
-            raw = _codes(text)
-            codes, ends, _ = fold(raw, np.array([0, len(raw)]))
-            if len(codes) and codes[-1] == 32:
-                codes = codes[:-1]
-            self.codes.append(codes)
-            g = _grams(codes)
-            grams.append(g)
-            item.append(np.full(len(g), i))
-            at.append(np.arange(len(g)))
-        sizes = np.array([len(c) for c in self.codes], np.int64)
-        most = np.maximum(0, (sizes - Q) // Q)  # so that an occurrence shares a q-gram at least
-        self.edits = np.minimum(sizes * opts.percent // 100, most)
-        self.need = np.maximum(1, sizes + 1 - Q - self.edits * Q)
-        self.step = 2 * self.edits + 1
-        self.widest = int(sizes.max(initial=0)) + 1
-        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
+    def __init__(self, q: int, items: np.ndarray, codes: list[np.ndarray]):
+        self.q = q
+        grams = [_grams(codes[i], q) for i in items]
+        flat = np.concatenate(grams)
         order = np.argsort(flat, kind="stable")
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(flat)))
-        self.item = np.concatenate([*item, np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.at = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)[order]
+        self.item = np.repeat(items, [len(g) for g in grams])[order]
+        self.at = np.concatenate([np.arange(len(g)) for g in grams])[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self._slot(self.grams)] = True
 
@@ -97,17 +88,82 @@ class Items:
     def _slot(grams: np.ndarray) -> np.ndarray:
         return ((grams * _SPREAD) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def occurrences(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the text, item and place in the item of all shared q-grams."""
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text whose q-gram an item has, and the number of that q-gram."""
+        grams = _grams(codes, self.q)
         place = np.flatnonzero(self.seen[self._slot(grams)])
         found = np.searchsorted(self.grams, grams[place])
         found[found == len(self.grams)] = 0
         true = self.grams[found] == grams[place]
-        place, found = place[true], found[true]
-        times = self.count[found]
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        own = np.repeat(self.first[found], times) + within
-        return np.repeat(place, times), self.item[own], self.at[own]
+        return place[true], found[true]
+
+    def slices(self, place: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place in the text, item and place in the item of shared q-grams, some places of the text at a time."""
+        ends = np.cumsum(self.count[found])
+        start = 0
+        while start < len(place):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
+            times = self.count[found[start:stop]]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            own = np.repeat(self.first[found[start:stop]], times) + within
+            yield np.repeat(place[start:stop], times), self.item[own], self.at[own]
+            start = stop
+
+
+class Items:
+    """Benchmark items as compared, with the edits allowed and the q-grams an occurrence must share.
+
+    With k edits an item falls into k + 1 stretches, one of which is untouched, so its q is at most m // (k + 1).
+    """
+
+    def __init__(self, texts: list[str], opts: LeakOptions):
+        self.codes = []
+        for text in texts:
+            raw = _codes(text)
+            codes, _, _ = fold(raw, np.array([0, len(raw)]))
+            self.codes.append(codes[:-1] if len(codes) and codes[-1] == 32 else codes)
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.edits = self.sizes * opts.percent // 100
+        q = np.minimum(Q, self.sizes // (self.edits + 1))
+        self.need = np.maximum(1, self.sizes + 1 - q - self.edits * q)
+        self.step = 2 * self.edits + 1
+        self.widest = int(self.sizes.max(initial=0)) + 1
+        usable = (self.sizes >= SHORTEST) & (q > 0)
+        self.grams = [_Grams(int(n), np.flatnonzero(usable & (q == n)), self.codes) for n in np.unique(q[usable])]
+
+    def bands(self, grams: _Grams, codes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """Text, item and band with as many shared q-grams as an occurrence needs, in this order.
+
+        Places come in order, so bands that lie behind them are complete and are settled before the next slice.
+        """
+        place, found = grams.shared(codes)
+        doc = np.searchsorted(first, place, "right") - 1
+        whole = place + grams.q <= first[doc + 1]
+        place, found = place[whole], found[whole]
+        span = len(codes) + 2 * self.widest + 2  # of the numbers of bands
+        open_keys, open_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = [open_keys]
+        for where, item, inner in grams.slices(place, found):
+            doc = np.searchsorted(first, where, "right") - 1
+            band = (where - first[doc] - inner + self.widest) // self.step[item]
+            # band numbers from 1; a q-gram counts for the band that begins at or before it and for the one before that
+            keys = (doc * len(self.codes) + item) * span + band + 1
+            keys, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
+            if len(open_keys):
+                keys, at = np.unique(np.concatenate([open_keys, keys]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([open_counts, counts])).astype(np.int64)
+            pair, band = np.divmod(keys, span)
+            d, i = np.divmod(pair, len(self.codes))
+            last = first[d] + (band + 1) * self.step[i] - self.widest + self.sizes[i]  # place after a band's last q-gram
+            done = last < where[-1]
+            out.append(keys[done & (counts >= self.need[i])])
+            open_keys, open_counts = keys[~done], counts[~done]
+        pair = open_keys // span % len(self.codes)
+        out.append(open_keys[open_counts >= self.need[pair]])
+        pair, band = np.divmod(np.sort(np.concatenate(out)), span)
+        d, i = np.divmod(pair, len(self.codes))
+        return list(zip(d.tolist(), i.tolist(), (band - 1).tolist()))
 
     def align(self, item: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
         """Fewest edits between the item and a stretch of ``text`` on diagonals low..high-1, its start and end."""
@@ -149,21 +205,8 @@ class Items:
             np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
             char_at = begins[at]
             folded, first, place = fold(codes, char_at)
-            where, item, inner = self.occurrences(_grams(folded))
-            doc = np.searchsorted(first, where, "right") - 1
-            whole = where + Q <= first[doc + 1]
-            where, item, inner, doc = where[whole], item[whole], inner[whole], doc[whole]
-            if not len(where):
-                continue
-            band = (where - first[doc] - inner + self.widest) // self.step[item]
-            keys = (doc * len(self.codes) + item) * (len(data) + 2 * self.widest) + band
-            # a q-gram counts for the band that begins at or before it and for the one before that
-            keys, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
-            pair, band = np.divmod(keys, len(data) + 2 * self.widest)
-            enough = counts >= self.need[pair % len(self.codes)]
             last = None
-            for pair, band in zip(pair[enough].tolist(), band[enough].tolist()):
-                d, i = divmod(pair, len(self.codes))
+            for d, i, band in (b for grams in self.grams for b in self.bands(grams, folded, first)):
                 low = band * int(self.step[i]) - self.widest
                 text = folded[first[d] : first[d + 1]]
                 edits, start, end = self.align(i, text, low, low + 2 * int(self.step[i]))
@@ -193,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, opts: LeakOptions = LeakOp
     """One row per occurrence: doc_id, item_id, start, end (code points), edits.
 
     The benchmark (item_id, text) is read by the driver a block at a time; documents of any number and length are
-    compared with all of it. Null or empty texts and items, and items under 8 characters, match nothing. Equal items
+    compared with all of it. Null or empty texts and items, and items under ``SHORTEST`` characters, match nothing. Equal items
     are all reported, as are rows that repeat a doc_id. Other columns are ignored.
     """
 

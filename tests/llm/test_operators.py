@@ -213,12 +213,11 @@ def test_leaks_against_all_places(spark):
             t[i : i + r.randrange(2)] = r.choice(["", "q", "zz"])
         texts.append(" ".join(word() for _ in range(10)) + "\n" + "".join(t).upper() + "  " + " ".join(word() for _ in range(10)))
     fold = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", (t or "").lower())
-    held = leaks.Items([i or "" for i in items], leaks.LeakOptions())
     want = set()
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             codes = fold(item).strip()
-            if len(codes) >= leaks.Q and edits(codes, fold(t)) <= held.edits[i]:
+            if len(codes) >= 8 and edits(codes, fold(t)) <= len(codes) // 10:
                 want.add((d, i))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = table(spark, list(enumerate(texts)))
@@ -226,7 +225,50 @@ def test_leaks_against_all_places(spark):
     assert {(g.doc_id, g.item_id) for g in found.collect()} == want and len(want) > 20
     assert {g.doc_id for g in leaks.without_leaks(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert leaks.find_leaks(table(spark, []), bench).count() == 0 == leaks.find_leaks(docs, bench.limit(0)).count()
+    held = leaks.Items([i or "" for i in items], leaks.LeakOptions())
     assert not list(held.matches(pa.array([None, ""])))
+    twice = leaks.find_leaks(docs.union(docs), bench)  # rows that repeat a doc_id are reported each
+    assert twice.count() == 2 * found.count()
+
+
+def test_short_items_have_their_edits(spark):
+    """Every item of 8 to 60 characters is found with a tenth of its characters replaced, left out or put in."""
+    r = random.Random(5)
+    items = ["".join(r.choices("abcdefghijklmnop", k=m)) for m in range(8, 61) for _ in range(3)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        k = len(item) // 10
+        for more in (0, 1):
+            t = list(item)
+            # spread evenly, as this leaves the shortest untouched stretches
+            for n in range(k + more):
+                at = (n + 1) * len(item) // (k + more + 1)
+                t[at] = r.choice(["", "#", "#" + t[at]])
+            texts.append("0123456789" * 30 + "".join(t) + "9876543210")
+    low = [t[300:-10] for t in texts]
+    for d, t in enumerate(low):
+        for i, item in enumerate(items):
+            if abs(len(item) - len(t)) <= 20 and edits(item, t) <= len(item) // 10:
+                want.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = leaks.find_leaks(table(spark, list(enumerate(texts))), bench).collect()
+    assert {(f.doc_id, f.item_id) for f in found} == want
+    assert {(2 * i, i) for i in range(len(items))} <= want
+
+
+def test_repetitive_texts_are_counted_in_slices(monkeypatch):
+    """Equal q-grams everywhere are counted a slice at a time, with the same result as at once."""
+    r = random.Random(6)
+    items = ["-" * 300, "ab" * 60, "".join(r.choices("abcd", k=50)), "-" * 12 + "x" + "-" * 12]
+    texts = ["-" * 5000, "ab" * 900 + "-" * 290, items[2] * 3 + "--x--", None, "", "-" * 311 + "x" + "-" * 40]
+    at_once = list(leaks.Items(items, leaks.LeakOptions()).matches(pa.array(texts)))
+    monkeypatch.setattr(leaks, "_SLICE", 500)
+    held = leaks.Items(items, leaks.LeakOptions())
+    assert list(held.matches(pa.array(texts))) == at_once
+    assert {(d, i) for d, i, *_ in at_once} == {(0, 0), (0, 3), (1, 0), (1, 1), (1, 3), (2, 2), (5, 0), (5, 3)}
+    place, found = held.grams[-1].shared(np.full(5000, 45, np.uint32))
+    sizes = [len(w) for w, _, _ in held.grams[-1].slices(place, found)]
+    assert max(sizes) <= 600 and sum(sizes) > 1_000_000
 
 
 def test_pipeline(spark, sf):
