@@ -1,9 +1,10 @@
 """Quality verdicts by a learned decision list, in DataFrame functions only.
 
 Sequential covering: a rule is grown from threshold conditions over text statistics, one at a time, on two thirds of
-the labelled texts, and pruned on the rest; texts it covers leave, and the next rule is grown on what remains. The
-list is applied as one ordered conditional expression. Counting is Spark's; the driver sees one small table of counts
-per feature, bin and label for each step.
+the labelled texts, and pruned on the rest; texts it covers leave, and the next rule is grown on what remains. A rule
+that does not hold on the rest is dropped, and another first condition is tried; the list ends when none is left, so
+the number of rules and of their conditions follows from the labels. The list is applied as one ordered conditional
+expression. Counting is Spark's; the driver sees one small table of counts per feature, bin and label for each step.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ class RuleOptions:
     """``precision`` is what a rule must reach on the texts it is pruned on; rarer rules than ``least`` are not made."""
 
     bins: int = 32
-    max_rules: int = 8
-    max_conditions: int = 3
     precision: float = 0.95
     least: int = 20
 
@@ -55,6 +54,22 @@ class Rule:
         return out
 
 
+@dataclass(frozen=True)
+class _Step:
+    """A condition and what a rule covers with it: bad and good texts it is grown on, and those it is pruned on."""
+
+    gain: float
+    condition: Condition
+    bad: int
+    good: int
+    held_bad: int
+    held_good: int
+
+    @property
+    def share(self) -> float:
+        return (self.held_bad + 1) / (self.held_bad + self.held_good + 2)
+
+
 @dataclass(frozen=True)
 class DecisionList:
     """Rules in order, each rejecting what it covers; what none covers is kept."""
@@ -158,7 +173,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, opts: RuleOptions = RuleOpt
     """A decision list that rejects texts like those labelled ``quality`` 0.
 
     All labelled texts are used. Without labels, or with one kind only, the list is empty. A doc_id labelled more than
-    once counts as bad if any label says so; labels of 0 and 1 only count.
+    once counts as bad if any label says so; labels of 0 and 1 only count. Of equally good conditions the first feature
+    in the order of ``RATIOS`` is taken, and of its cuts the middle one.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     names = RATIOS
@@ -193,69 +209,64 @@ def learn_rules(stats: DataFrame, labels: DataFrame, opts: RuleOptions = RuleOpt
             out = out & within(c)
         return out
 
-    def histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
+    def histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, ...]]]:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("b")) for c in names]))
-        counts = rows.select("bad", pairs.alias("x")).groupBy("x.f", "x.b").agg(
-            F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((~F.col("bad")).cast("long")).alias("good")
+        of = [F.col("bad") & ~F.col("held"), ~F.col("bad") & ~F.col("held"), F.col("bad") & F.col("held"), ~F.col("bad") & F.col("held")]
+        counts = rows.select("bad", "held", pairs.alias("x")).groupBy("x.f", "x.b").agg(
+            *[F.count_if(kind).alias(f"n{i}") for i, kind in enumerate(of)]
         )
-        out: dict[str, dict[int, tuple[int, int]]] = {c: {} for c in names}
+        out: dict[str, dict[int, tuple[int, ...]]] = {c: {} for c in names}
         for r in counts.collect():  # features x bins rows
-            out[r["f"]][r["b"]] = (r["bad"], r["good"])
+            out[r["f"]][r["b"]] = (r["n0"], r["n1"], r["n2"], r["n3"])
         return out
 
-    def best_condition(rows: DataFrame) -> tuple[float, Condition | None, int, int]:
-        """Of equally good cuts of a feature the middle one."""
-        best: tuple[float, Condition | None, int, int] = (0.0, None, 0, 0)
-        equal: dict[tuple[str, bool], list[tuple[float, Condition, int, int]]] = {}
-        for c, bins in histogram(rows).items():
-            bad0, good0 = (sum(x[i] for x in bins.values()) for i in (0, 1))
-            if not bad0 or not good0:
+    def best_step(seen: dict[str, dict[int, tuple[int, ...]]], without: set[tuple[str, bool]]) -> _Step | None:
+        best = None
+        equal: dict[tuple[str, bool], list[_Step]] = {}
+        for c, bins in seen.items():
+            every = [sum(x[i] for x in bins.values()) for i in range(4)]
+            if not every[0] or not every[1]:
                 continue
-            low_bad = low_good = 0
+            low = [0] * 4
             for at, threshold in enumerate(cuts[c]):
-                low_bad, low_good = low_bad + bins.get(at, (0, 0))[0], low_good + bins.get(at, (0, 0))[1]
-                for above, bad, good in ((True, bad0 - low_bad, good0 - low_good), (False, low_bad, low_good)):
-                    if bad >= opts.least:
-                        gain = _entropy_gain(bad, good, bad0, good0)
-                        tied = equal.setdefault((c, above), [])
-                        if tied and gain > tied[0][0] + 1e-9:
-                            tied.clear()
-                        if not tied or gain >= tied[0][0] - 1e-9:
-                            tied.append((gain, Condition(c, above, threshold), bad, good))
+                low = [n + m for n, m in zip(low, bins.get(at, (0, 0, 0, 0)))]
+                for above, counts in ((True, [n - m for n, m in zip(every, low)]), (False, low)):
+                    if counts[0] < opts.least or (c, above) in without:
+                        continue
+                    gain = _entropy_gain(counts[0], counts[1], every[0], every[1])
+                    tied = equal.setdefault((c, above), [])
+                    if tied and gain > tied[0].gain + 1e-9:
+                        tied.clear()
+                    if not tied or gain >= tied[0].gain - 1e-9:
+                        tied.append(_Step(gain, Condition(c, above, threshold), *counts))
         for tied in equal.values():
-            if tied[0][0] > best[0] + 1e-9:
+            if tied[0].gain > (best.gain if best else 0.0) + 1e-9:
                 best = tied[len(tied) // 2]
         return best
 
-    def counted(rows: DataFrame, conditions) -> tuple[int, int]:
-        r = rows.where(covers(conditions)).agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
-        return r["bad"], r["good"]
-
     rules: list[Rule] = []
     left = binned
-    while len(rules) < opts.max_rules:
-        growing, held = left.where("not held"), left.where("held")
-        grown: list[Condition] = []
-        while len(grown) < opts.max_conditions:
-            gain, condition, bad, good = best_condition(growing.where(covers(grown)))
-            if condition is None:
-                break
-            grown.append(condition)
-            if not good:
+    seen, failed = histogram(left), set()
+    while True:
+        grown: list[_Step] = []
+        step = best_step(seen, failed)
+        while step is not None:
+            grown.append(step)
+            # with no more bad texts than that among the held ones, no longer rule can reach the precision
+            if not step.good or (step.held_bad + 1) / (step.held_bad + 2) < opts.precision:
                 break
+            step = best_step(histogram(left.where(covers(s.condition for s in grown))), set())
+        if not grown:
+            return DecisionList(tuple(rules))
         # pruning: of the rule and its beginnings, the one with the best record on the held texts
-        kept, record = (), -1.0
-        for n in range(1, len(grown) + 1):
-            bad, good = counted(held, grown[:n])
-            share = (bad + 1) / (bad + good + 2)
-            if share > record and share >= opts.precision:
-                kept, record = tuple(grown[:n]), share
-        if not kept:
-            break
-        bad, good = counted(left, kept)
-        rules.append(Rule(kept, good, bad))
+        last = max(grown, key=lambda s: s.share)
+        if last.share < opts.precision:
+            failed.add((grown[0].condition.feature, grown[0].condition.above))
+            continue
+        kept = tuple(s.condition for s in grown[: grown.index(last) + 1])
+        rules.append(Rule(kept, last.good + last.held_good, last.bad + last.held_bad))
         left = left.where(~covers(kept))
-    return DecisionList(tuple(rules))
+        seen, failed = histogram(left), set()
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, opts: RuleOptions = RuleOptions()) -> DataFrame:

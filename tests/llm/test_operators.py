@@ -12,7 +12,7 @@ from check_oracle import compare, connect
 
 from massloom.llm import chat, leaks, queries
 from massloom.llm.minhash import NearOptions, near_duplicates
-from massloom.llm.quality import judge_quality, learn_rules, text_statistics
+from massloom.llm.quality import RATIOS, judge_quality, learn_rules, text_statistics
 from massloom.llm.sharding import shard_rows
 from massloom.llm.toxicity import ToxicOptions, find_voters, score_toxicity, without_toxic
 from massloom.llm.urls import UrlRule, judge_urls
@@ -111,6 +111,65 @@ def test_learned_rules_reject_the_bad(spark):
     assert rules and rules[0].good == 0 and sum(r.bad for r in rules) == 100
 
 
+def test_rules_have_no_limit_to_their_number(spark):
+    """Twelve kinds of junk need twelve rules; rules cover what a plain loop over them covers, in their order."""
+    r = random.Random(8)
+    rows, marks = [], []
+    for i in range(9000):
+        values = {c: 0.4 + 0.2 * r.random() for c in RATIOS}
+        kind = i % 30
+        if kind < 12:
+            values[RATIOS[kind % len(RATIOS)]] = 0.9 if kind < len(RATIOS) else 0.1
+        rows.append((i, *(values[c] for c in RATIOS)))
+        marks.append((i, int(kind >= 12)))
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} double" for c in RATIOS))
+    found = learn_rules(stats, spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert len(found.rules) == 12 and sum(x.bad for x in found.rules) == 3600 and not any(x.good for x in found.rules)
+    got = {g.doc_id: g.rule for g in stats.select("doc_id", found.rule().alias("rule")).collect()}
+    left = {d: dict(zip(RATIOS, v)) for d, *v in rows}
+    good = dict(marks)
+    for n, rule in enumerate(found.rules, 1):
+        hit = {d for d, v in left.items() if all((v[c.feature] > c.threshold) == c.above for c in rule.conditions)}
+        assert hit == {d for d, k in got.items() if k == n}
+        assert (rule.good, rule.bad) == (sum(good[d] for d in hit), sum(1 - good[d] for d in hit))
+        left = {d: v for d, v in left.items() if d not in hit}
+    assert all(got[d] is None and good[d] for d in left)
+
+
+def test_a_rule_that_fails_pruning_does_not_end_the_list(spark):
+    """The condition with the most to gain holds only where rules are grown; the next best one holds everywhere."""
+    ids = spark.range(6000).selectExpr("id as doc_id", "pmod(xxhash64(id), 3) = 0 as held").collect()
+    rows, marks = [], []
+    for d, held in ids:
+        first, second = d % 4 == 0, d % 4 == 1 and d % 8 == 1
+        values = dict.fromkeys(RATIOS, 0.5)
+        if first or (held and d % 4 == 2):
+            values["bang_share"] = 0.9
+        if second:
+            values["digit_share"] = 0.9
+        bad = (first and not held) or second
+        rows.append((d, *(values[c] for c in RATIOS)))
+        marks.append((d, int(not bad)))
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} double" for c in RATIOS))
+    rules = learn_rules(stats, spark.createDataFrame(marks, "doc_id long, quality int")).rules
+    assert [[c.feature for c in x.conditions] for x in rules] == [["digit_share"]] and rules[0].bad == 750
+
+
+def test_quality_of_odd_rows(spark):
+    """Labels given twice, null or of other values, columns of clashing names, very long texts, repeated rows."""
+    text = "some plain words here . " * 3 + " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text + (" # #" * 30 if i % 4 == 0 else "")) for i in range(200)]
+    long = " ".join(f"v{i}" for i in range(300_000))
+    rows += [(0, rows[0][1]), (900, long), (901, "# " * 200_000), (902, None)]
+    marks = [(i, int(i % 4 != 0), "x", 1) for i in range(200)] + [(1, 1, "x", 2), (None, 0, "y", 1), (2, None, "y", 1), (3, 7, "y", 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, text string, bad int")
+    got = judge_quality(table(spark, rows), labels).collect()
+    assert len(got) == len(rows)
+    verdict = {(g.doc_id, g.n_words, g.kept, g.base_failed) for g in got}
+    assert {(d, k) for d, _, k, _ in verdict if d < 900} == {(i, i % 4 != 0) for i in range(200)}
+    assert {v for v in verdict if v[0] >= 900} == {(900, 300_000, True, False), (901, 200_000, False, True), (902, 0, False, True)}
+
+
 def test_sharding(spark):
     rows = [(i, "x" * (i % 5)) for i in range(2000)] + [(7, None)] * 500 + [(None, "é")]
     eight = shard_rows(table(spark, rows), 8).collect()
