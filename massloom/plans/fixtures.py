@@ -35,22 +35,20 @@ def fragment_rows(spark: SparkSession, sf_dir: str, opts: DigestOptions = Digest
     ).where(F.col("seq").isNotNull())
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One spectrum per document, planted from its alphabetically first eligible fragment.
+def planted(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """One spectrum per document, planted from its alphabetically first eligible fragment; or one for every such fragment.
+
+    With ``every`` a spectrum has the number of its document times a million plus that of the fragment.
 
     Peaks are the charge-1 b and y ladder, each shifted by a few ppm, and as
     noise the embedding with the document's number, where there is one.
     ``truth`` is the modified sequence.
     """
     opts = DigestOptions()
-    picked = (
-        fragment_rows(spark, sf_dir)
-        .where(F.length("seq").between(opts.min_length, opts.max_length))
-        .groupBy("protein_id")
-        .agg(F.min(F.struct("seq", "k")).alias("_f"))
-        .select("protein_id", "_f.seq", "_f.k")
-        .withColumn("mods", fixed_mods(F.col("seq"), opts))
-    )
+    picked = fragment_rows(spark, sf_dir).where(F.length("seq").between(opts.min_length, opts.max_length))
+    if not every:
+        picked = picked.groupBy("protein_id").agg(F.min(F.struct("seq", "k")).alias("_f")).select("protein_id", "_f.seq", "_f.k")
+    picked = picked.withColumn("mods", fixed_mods(F.col("seq"), opts))
     mass = chem.peptide_mass(F.col("seq"), F.col("mods"), opts.nterm, opts.cterm)
     doc, k, n = F.col("protein_id"), F.col("k"), F.length("seq")
     sums = chem.prefix_masses(F.col("seq"), F.col("mods"))
@@ -85,8 +83,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("_true", mass)
         .join(noise, "protein_id", "left")
         .select(
-            F.col("protein_id").alias("query_id"),
-            F.concat(F.lit("s"), doc.cast("string")).alias("title"),
+            (doc * 1_000_000 + k if every else doc).alias("query_id"),
+            F.concat(F.lit("s"), doc.cast("string"), *([F.lit("_"), k.cast("string")] if every else [])).alias("title"),
             F.pmod(doc * 17 + k, F.lit(3600)).cast("double").alias("rt"),
             (F.lit(2) + F.pmod(doc, F.lit(3))).cast("int").alias("charge"),
             (
@@ -101,9 +99,13 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectra(
-    spark: SparkSession, sf_dir: str, query: QueryOptions = QueryOptions(), search: SearchOptions = SearchOptions()
+    spark: SparkSession,
+    sf_dir: str,
+    query: QueryOptions = QueryOptions(),
+    search: SearchOptions = SearchOptions(),
+    every: bool = False,
 ) -> DataFrame:
-    return prepare_spectra(planted(spark, sf_dir), query, search)
+    return prepare_spectra(planted(spark, sf_dir, every), query, search)
 
 
 def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

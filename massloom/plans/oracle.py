@@ -116,6 +116,39 @@ def _modified(source: str, variable: bool) -> str:
 
 _P = f"{chem.PROTON!r}::DOUBLE"
 
+_EVERY_ID = "(protein_id * 1000000 + k)"
+
+
+def _planted(sums: str, query_id: str, title: str) -> str:
+    return f"""
+    SELECT {query_id} AS query_id, {title} AS title, ((protein_id * 17 + k) % 3600)::DOUBLE AS rt,
+        (2 + protein_id % 3)::INTEGER AS charge, replace(seq, 'C', 'C[57.0215]') AS truth,
+        (sums[-1] + {_TERMS}) / 1e9 * (1e0 + ((protein_id * 13 + k * 29) % 121 - 60) * 1e-6)
+            / (2 + protein_id % 3) + {_P} AS pepmass
+    FROM {sums}"""
+
+
+def _peaks(sums: str, query_id: str) -> str:
+    return f"""
+    SELECT {query_id} AS query_id, (sums[pos] + {_B}) / 1e9 * (1e0 + ((protein_id * 7 + pos * 11) % 17 - 8) * 1e-6) AS mz,
+        1e0 + (protein_id * 5 + pos * 37) % 100 AS intensity
+    FROM (SELECT *, unnest(range(1, len(sums))) AS pos FROM {sums})
+    UNION ALL
+    SELECT {query_id}, (sums[-1] - sums[pos - 1] + {_Y}) / 1e9 * (1e0 + ((protein_id * 7 + pos * 11) % 17 - 8) * 1e-6),
+        1e0 + (protein_id * 5 + pos * 37) % 100
+    FROM (SELECT *, unnest(range(2, len(sums) + 1)) AS pos FROM {sums})
+    UNION ALL
+    SELECT {query_id}, 100e0 + i * 25e0 + abs(embedding[i + 1]::DOUBLE) * 10e0, (1 + (i * 7) % 10)::DOUBLE
+    FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings) JOIN {sums} ON vec_id = protein_id"""
+
+
+def _spectra(planted: str) -> str:
+    return f"""
+    SELECT *, mass + -100e0 * 1e-6 * mass AS min_mass, mass + 100e0 * 1e-6 * mass AS max_mass
+    FROM (SELECT *, pepmass * charge - (charge - 1) * {_P} - {_P} AS mass FROM {planted})
+    WHERE mass BETWEEN 250 AND 6000 AND charge BETWEEN 2 AND 4"""
+
+
 CTES = {
     "proteins": """
     SELECT doc_id AS protein_id, source || '_' || doc_id AS descr,
@@ -146,27 +179,16 @@ CTES = {
         SELECT protein_id, min({'seq': seq, 'k': k}) AS s FROM frags WHERE length(seq) BETWEEN 7 AND 40 GROUP BY protein_id)""",
     "pres": f"SELECT *, {_letters(_case('seq[i]', {'C': _C}))} AS res FROM picked",
     "psums": "SELECT *, [list_sum(res[1:j])::BIGINT for j in range(1, len(res) + 1)] AS sums FROM pres",
-    "planted": f"""
-    SELECT protein_id AS query_id, 's' || protein_id AS title, ((protein_id * 17 + k) % 3600)::DOUBLE AS rt,
-        (2 + protein_id % 3)::INTEGER AS charge, replace(seq, 'C', 'C[57.0215]') AS truth,
-        (sums[-1] + {_TERMS}) / 1e9 * (1e0 + ((protein_id * 13 + k * 29) % 121 - 60) * 1e-6)
-            / (2 + protein_id % 3) + {_P} AS pepmass
-    FROM psums""",
-    "peaks": f"""
-    SELECT protein_id AS query_id, (sums[pos] + {_B}) / 1e9 * (1e0 + ((protein_id * 7 + pos * 11) % 17 - 8) * 1e-6) AS mz,
-        1e0 + (protein_id * 5 + pos * 37) % 100 AS intensity
-    FROM (SELECT *, unnest(range(1, len(sums))) AS pos FROM psums)
-    UNION ALL
-    SELECT protein_id, (sums[-1] - sums[pos - 1] + {_Y}) / 1e9 * (1e0 + ((protein_id * 7 + pos * 11) % 17 - 8) * 1e-6),
-        1e0 + (protein_id * 5 + pos * 37) % 100
-    FROM (SELECT *, unnest(range(2, len(sums) + 1)) AS pos FROM psums)
-    UNION ALL
-    SELECT vec_id, 100e0 + i * 25e0 + abs(embedding[i + 1]::DOUBLE) * 10e0, (1 + (i * 7) % 10)::DOUBLE
-    FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings) WHERE vec_id IN (SELECT protein_id FROM picked)""",
-    "spectra": f"""
-    SELECT *, mass + -100e0 * 1e-6 * mass AS min_mass, mass + 100e0 * 1e-6 * mass AS max_mass
-    FROM (SELECT *, pepmass * charge - (charge - 1) * {_P} - {_P} AS mass FROM planted)
-    WHERE mass BETWEEN 250 AND 6000 AND charge BETWEEN 2 AND 4""",
+    "planted": _planted("psums", "protein_id", "'s' || protein_id"),
+    "peaks": _peaks("psums", "protein_id"),
+    "spectra": _spectra("planted"),
+    # the same with a spectrum for every eligible fragment
+    "every_pres": f"""
+    SELECT *, {_letters(_case('seq[i]', {'C': _C}))} AS res FROM frags WHERE length(seq) BETWEEN 7 AND 40""",
+    "every_psums": "SELECT *, [list_sum(res[1:j])::BIGINT for j in range(1, len(res) + 1)] AS sums FROM every_pres",
+    "every_planted": _planted("every_psums", _EVERY_ID, "'s' || protein_id || '_' || k"),
+    "every_peaks": _peaks("every_psums", _EVERY_ID),
+    "every_spectra": _spectra("every_planted"),
     "pairs": """
     SELECT s.query_id, s.charge, s.mass AS query_mass, c.cand_id, c.mass AS cand_mass, c.length, c.seq, c.modseq, c.res
     FROM spectra s JOIN cands c ON c.mass BETWEEN s.min_mass AND s.max_mass""",

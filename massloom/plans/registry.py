@@ -1,7 +1,8 @@
 """Registered queries: the engine's operators on the driver's tables, each with its SQL.
 
-Every query reads whole tables; those on spectra see the one fragment that the
-fixtures plant from each text. Large results are reduced to counts and checksums
+Every query reads whole tables. Queries on spectra alone, and ``search_qvalues``,
+have a spectrum for every eligible fragment; the others that score see the one
+fragment that the fixtures plant from each text. Large results are reduced to counts and checksums
 per group; the work behind them is not.
 """
 
@@ -112,7 +113,7 @@ def met_truncation(spark, sf_dir):
 @query(
     sql(
         """SELECT count(*) AS proteins, sum(length(seq))::BIGINT AS residues, (SELECT count(*) FROM frags) AS fragments,
-        (SELECT count(*) FROM planted) AS spectra, (SELECT count(DISTINCT seq) FROM frags) AS peptides FROM proteins"""
+        (SELECT count(*) FROM every_planted) AS spectra, (SELECT count(DISTINCT seq) FROM frags) AS peptides FROM proteins"""
     )
 )
 def protein_counts(spark, sf_dir):
@@ -122,7 +123,7 @@ def protein_counts(spark, sf_dir):
     ).select(
         "*",
         frags.agg(F.count(F.lit(1))).scalar().alias("fragments"),
-        fx.planted(spark, sf_dir).agg(F.count(F.lit(1))).scalar().alias("spectra"),
+        fx.planted(spark, sf_dir, every=True).agg(F.count(F.lit(1))).scalar().alias("spectra"),
         frags.agg(F.countDistinct("seq")).scalar().alias("peptides"),
     )
 
@@ -494,45 +495,45 @@ def candidate_first_names(spark, sf_dir):
 # ---------------------------------------------------------------- spectra
 
 
-@query(sql("SELECT query_id, charge, round(pepmass * charge - (charge - 1) * 1.00727646688e0 - 1.00727646688e0, 6) AS mass FROM planted"))
+@query(sql("SELECT query_id, charge, round(pepmass * charge - (charge - 1) * 1.00727646688e0 - 1.00727646688e0, 6) AS mass FROM every_planted"))
 def precursor_mass(spark, sf_dir):
     mass = chem.precursor_mass(F.col("pepmass"), F.col("charge"))
-    return fx.planted(spark, sf_dir).select("query_id", "charge", F.round(mass, 6).alias("mass"))
+    return fx.planted(spark, sf_dir, every=True).select("query_id", "charge", F.round(mass, 6).alias("mass"))
 
 
-@query(sql("SELECT query_id, title, rt, charge, round(mass, 6) AS mass FROM spectra WHERE mass BETWEEN 1000 AND 3000 AND charge BETWEEN 2 AND 3"))
+@query(sql("SELECT query_id, title, rt, charge, round(mass, 6) AS mass FROM every_spectra WHERE mass BETWEEN 1000 AND 3000 AND charge BETWEEN 2 AND 3"))
 def query_filter(spark, sf_dir):
     opts = QueryOptions(min_mass=1000.0, max_mass=3000.0, max_charge=3)
-    return fx.spectra(spark, sf_dir, opts).select("query_id", "title", "rt", "charge", F.round("mass", 6).alias("mass"))
+    return fx.spectra(spark, sf_dir, opts, every=True).select("query_id", "title", "rt", "charge", F.round("mass", 6).alias("mass"))
 
 
-@query(sql("SELECT query_id, round(min_mass, 6) AS min_mass, round(max_mass, 6) AS max_mass FROM spectra"))
+@query(sql("SELECT query_id, round(min_mass, 6) AS min_mass, round(max_mass, 6) AS max_mass FROM every_spectra"))
 def tolerance_window_ppm(spark, sf_dir):
-    return fx.spectra(spark, sf_dir).select("query_id", F.round("min_mass", 6).alias("min_mass"), F.round("max_mass", 6).alias("max_mass"))
+    return fx.spectra(spark, sf_dir, every=True).select("query_id", F.round("min_mass", 6).alias("min_mass"), F.round("max_mass", 6).alias("max_mass"))
 
 
-@query(sql("SELECT query_id, round(mass - 0.5e0, 6) AS min_mass, round(mass + 1.5e0, 6) AS max_mass FROM spectra"))
+@query(sql("SELECT query_id, round(mass - 0.5e0, 6) AS min_mass, round(mass + 1.5e0, 6) AS max_mass FROM every_spectra"))
 def tolerance_window_abs(spark, sf_dir):
-    rows = fx.spectra(spark, sf_dir, search=SearchOptions(tolerance=(-0.5, 1.5), unit="abs"))
+    rows = fx.spectra(spark, sf_dir, search=SearchOptions(tolerance=(-0.5, 1.5), unit="abs"), every=True)
     return rows.select("query_id", F.round("min_mass", 6).alias("min_mass"), F.round("max_mass", 6).alias("max_mass"))
 
 
 @query(
     sql(
-        f"""SELECT query_id, round(abs(s.mass - t.true_mass) / t.true_mass * 1e6, 4) AS ppm FROM spectra s JOIN
-        (SELECT protein_id AS query_id, (sums[-1] + {o._TERMS}) / 1e9 AS true_mass FROM psums) t USING (query_id)"""
+        f"""SELECT query_id, round(abs(s.mass - t.true_mass) / t.true_mass * 1e6, 4) AS ppm FROM every_spectra s JOIN
+        (SELECT protein_id * 1000000 + k AS query_id, (sums[-1] + {o._TERMS}) / 1e9 AS true_mass FROM every_psums) t USING (query_id)"""
     )
 )
 def ppm_error(spark, sf_dir):
-    rows = fx.spectra(spark, sf_dir).withColumn("seq", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")))
+    rows = fx.spectra(spark, sf_dir, every=True).withColumn("seq", F.replace("truth", F.lit("C[57.0215]"), F.lit("C")))
     rows = cand.with_fixed_mods(rows, PLAIN)
     true = chem.peptide_mass(F.col("seq"), F.col("mods"), PLAIN.nterm, PLAIN.cterm)
     return rows.select("query_id", F.round(chem.ppm_distance(F.col("mass"), true), 4).alias("ppm"))
 
 
-@query(sql("SELECT query_id, count(*)::INTEGER AS n_peaks FROM spectra JOIN peaks USING (query_id) GROUP BY 1 HAVING count(*) BETWEEN 30 AND 90"))
+@query(sql("SELECT query_id, count(*)::INTEGER AS n_peaks FROM every_spectra JOIN every_peaks USING (query_id) GROUP BY 1 HAVING count(*) BETWEEN 30 AND 90"))
 def peak_count_filter(spark, sf_dir):
-    rows = fx.spectra(spark, sf_dir, QueryOptions(min_peaks=30, max_peaks=90))
+    rows = fx.spectra(spark, sf_dir, QueryOptions(min_peaks=30, max_peaks=90), every=True)
     return rows.select("query_id", F.size("peaks").alias("n_peaks"))
 
 
