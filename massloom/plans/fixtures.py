@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions import chem
@@ -108,6 +108,21 @@ def spectra(
     return prepare_spectra(planted(spark, sf_dir, every), query, search)
 
 
+def is_foreign() -> Column:
+    """Whether ``spectra_with_foreign`` moves the peaks of a spectrum: three of ten."""
+    return F.pmod(F.col("query_id") * 7919, F.lit(10)) < 3
+
+
+def spectra_with_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spectrum for every eligible fragment, three of ten of them foreign to the database.
+
+    Peaks of a foreign spectrum are moved by 3.37 m/z, so that it fits no candidate better than chance and decoys win as
+    often as targets.
+    """
+    moved = F.transform("peaks", lambda p: F.struct((p["mz"] + 3.37).alias("mz"), p["intensity"].alias("intensity")))
+    return spectra(spark, sf_dir, every=True).withColumn("peaks", F.when(is_foreign(), moved).otherwise(F.col("peaks")))
+
+
 def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak rows, one spectrum per user."""
     return table(spark, sf_dir, "events").select(

@@ -794,6 +794,14 @@ def search_topn(spark, sf_dir):
     )
 
 
+@query()
+def search_qvalues(spark, sf_dir):
+    """Best match and q-value of a spectrum for every eligible fragment, many of them foreign, on default candidates."""
+    cands = materialize(cand.build_candidates(fx.proteins(spark, sf_dir)))
+    best = materialize(search_ops.search(materialize(fx.spectra_with_foreign(spark, sf_dir)), cands, retain=1))
+    return fdr_ops.with_qvalue(best).select("query_id", "title", "modseq", "truth", "decoy", "score", "fdr", "q")
+
+
 @query(
     sql(
         """SELECT query_id, cand_id, modseq, round(score, 6) AS score FROM (

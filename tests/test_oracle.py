@@ -7,7 +7,7 @@ from check_oracle import compare, connect
 
 SLOW = {
     "psm_features", "search_topn", "search_best", "rf_rescore", "rf_train", "rescorer_blend", "semi_supervised_rescore", "stage_resume",
-    "length_classifier", "precursor_range_join", "combined_score",
+    "length_classifier", "precursor_range_join", "combined_score", "search_qvalues",
 }
 
 

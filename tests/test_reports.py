@@ -11,6 +11,8 @@ from massloom.operators import fdr, learned, pin, report, rescoring, running
 from massloom.operators import spectra as spectra_ops
 from massloom.operators.search import top_n
 from massloom.options import PinOptions, ReportOptions
+from massloom.plans import fixtures
+from massloom.plans.registry import search_qvalues
 
 
 def table(spark, rows):
@@ -32,6 +34,25 @@ def brute_q(rows):
     return out, q
 
 
+def test_qvalues_of_a_whole_search(spark, sf):
+    """Every spectrum with a candidate has its best match, foreign ones fit decoys as often as targets, q as counted."""
+    rows = search_qvalues(spark, sf).withColumn("foreign", fixtures.is_foreign()).collect()
+    ids = {r.query_id for r in fixtures.spectra_with_foreign(spark, sf).select("query_id").collect()}
+    assert len({r.query_id for r in rows}) == len(rows) and {r.query_id for r in rows} <= ids
+    own, foreign = ([r for r in rows if r.foreign == f] for f in (False, True))
+    assert len(own) == sum(i * 7919 % 10 >= 3 for i in ids)  # each has its own peptide at least
+    assert sum(r.truth == r.modseq for r in own) > 0.99 * len(own) and sum(r.q <= 0.01 for r in own) > 0.99 * len(own)
+    assert len(foreign) > 1000 and 0.45 < sum(r.decoy for r in foreign) / len(foreign) < 0.55
+    assert 0 < sum(r.q <= 0.01 and r.decoy for r in rows) <= 0.01 * sum(r.q <= 0.01 and not r.decoy for r in rows)
+    order = sorted(rows, key=lambda r: -r.score)
+    scores = np.array([r.score for r in order])
+    decoys, targets = (np.cumsum([r.decoy == d for r in order]) for d in (True, False))
+    end = np.searchsorted(-scores, -scores, "right") - 1  # ties share the ratio at their end
+    ratio = np.minimum(1.0, decoys[end] / np.maximum(targets[end], 1))
+    assert [r.fdr for r in order] == pytest.approx(ratio.tolist())
+    assert [r.q for r in order] == pytest.approx(np.minimum.accumulate(ratio[::-1])[::-1].tolist())
+
+
 def test_worked_example(spark):
     rows = [(i, f"t{i}", 10.0 - i, d) for i, d in enumerate([False, False, True, False, True])]
     got = sorted((r["psm_id"], r["fdr"], r["q"]) for r in fdr.with_fdr(table(spark, rows)).collect())
