@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from check_oracle import compare, connect
 
 from massloom.llm import chat, leaks, queries
@@ -189,6 +190,26 @@ def test_sharding(spark):
     assert shard_rows(table(spark, []), 8).count() == 0
 
 
+def jumped(key, shards):
+    """Shard of a key by a plain loop that draws from the same hash."""
+    at, shard = 0, 0
+    while at < shards:
+        shard, h = at, 42
+        for part in (key, at):
+            if part is not None:  # a null leaves the hash as it is
+                h = xxhash.xxh64(part.to_bytes(8, "little", signed=True), seed=h).intdigest()
+        at = int(min((at + 1) * 2.0**53 / ((h >> 11) + 1), 2.0**40))
+    return shard
+
+
+def test_shards_are_those_of_a_plain_loop(spark):
+    keys = [*range(-50, 3000), 2**40, -(2**63), 2**63 - 1, None]
+    rows = table(spark, [(k, "x") for k in keys])
+    for shards in (1, 2, 8, 100):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in shard_rows(rows, shards).collect()}
+        assert got == {k: (jumped(k, shards), jumped(k, shards + 1)) for k in keys}
+
+
 def test_urls(spark):
     rules = [UrlRule("org", "/", "allow"), UrlRule("a.org", "/x/*z", "block"), UrlRule("", "/bad/", "block"), UrlRule("com", "", "block")]
     urls = {
