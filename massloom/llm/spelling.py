@@ -165,7 +165,9 @@ def near_pairs(vocabulary: DataFrame, symbols: int = 8) -> DataFrame:
     coded = materialize(with_codes(reduced(vocabulary.select("word", "n"), symbols)))
     near = neighbourhoods(coded.select("reduced").distinct(), symbols)
     left, right = (coded.select(F.col("code").alias(f"{x}_code"), F.struct("word", "n").alias(x)) for x in "ab")
-    met = near.join(right, F.col("near") == F.col("b_code")).join(left, F.col("code") == F.col("a_code"))
+    # sort-merge, because size estimates take neighbourhoods for as small as the words they unfold from
+    met = near.hint("merge").join(right.hint("merge"), F.col("near") == F.col("b_code"))
+    met = met.hint("merge").join(left.hint("merge"), F.col("code") == F.col("a_code"))
     a, b = F.col("a.word"), F.col("b.word")
     met = met.where((F.col("code") != F.col("near")) | (a < b))
     apart = met.where(F.abs(F.length(a) - F.length(b)) <= 1).where(F.levenshtein(a, b, 1) == 1)
@@ -184,7 +186,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ways = materialize(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = ways.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        stepped = ways.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
+        stepped = ways.hint("merge").join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
         stepped = materialize(stepped)
         ways = stepped.select("word", "root")
         if stepped.where("moved").isEmpty():
@@ -200,7 +202,7 @@ def group_variants(vocabulary: DataFrame, opts: SpellingOptions = SpellingOption
     vocabulary = materialize(vocabulary.select("word", "n"))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word"), F.col("other_n").alias("n")))
     found = near_pairs(vocabulary, opts.symbols).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    judged = vocabulary.join(found, "word", "left")
+    judged = vocabulary.hint("merge").join(found.hint("merge"), "word", "left")
     enough = F.col("best.n") >= opts.lead * F.col("n")
     judged = materialize(
         judged.select(
@@ -212,7 +214,7 @@ def group_variants(vocabulary: DataFrame, opts: SpellingOptions = SpellingOption
         )
     )
     ends = roots(judged.where("form is not null").select("word", "form"))
-    out = judged.join(ends, "word", "left")
+    out = judged.hint("merge").join(ends.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -94,3 +94,10 @@ def test_each_pair_of_reduced_words_is_listed_once(spark):
     listed = [frozenset((names[r.code], names[r.near])) for r in spelling.neighbourhoods(words, 2).collect() if r.near in names]
     assert len(listed) == len(set(listed))
     assert {x for x in listed if len(x) == 2} == {frozenset(p) for p in (("aab", "ab"), ("aab", "aaab"), ("aab", "bab"), ("ab", "aa"), ("aab", "aa"), ("bab", "ab"))}
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    """Their size is estimated as that of the words they unfold from, so nothing of these joins goes through the driver."""
+    vocabulary = spark.createDataFrame([("aaaaa", 1), ("aaaab", 3), ("bbbbb", 5)], "word string, n long")
+    assert "Broadcast" not in near_pairs(vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in group_variants(vocabulary)._jdf.queryExecution().executedPlan().toString()
