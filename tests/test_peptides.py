@@ -152,3 +152,29 @@ def test_targets_hide_decoys_and_names_merge(spark):
     d = spark.createDataFrame([("AAK", "DECOY_a"), ("DDK", "DECOY_b")], "seq string, desc string")
     rows = {r["seq"]: (r["desc"], r["decoy"]) for r in cand.merge_peptides(t, d).collect()}
     assert rows == {"AAK": ("a;b", False), "CCK": ("a", False), "DDK": ("DECOY_b", True)}
+
+
+def test_forms_against_plain_loops(spark):
+    """All forms of a batch at once, without a function that runs for every letter of a row."""
+    opts = DigestOptions(variable_mods=(("M", 15.994915), ("M", 1.5), ("S", 79.966331), ("C", 3.0)), alternatives=True, max_variable=2)
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACDMKST") for _ in range(rng.randrange(1, 20))) for _ in range(150)] + ["AZB", "", None, "mMK", "M" * 22]
+    df = spark.createDataFrame([(s, f"p{i}", i % 2 == 0) for i, s in enumerate(seqs)], "seq string, desc string, decoy boolean")
+    offered, want = {"M": [15.994915, 1.5], "S": [79.966331]}, []
+    for i, s in enumerate(seqs):
+        if not s or set(s) - set(chem.RESIDUE_MASS):
+            continue
+        options = [(k, d) for k, aa in enumerate(s) for d in offered.get(aa, [])]
+        for n in range(3):
+            for some in itertools.combinations(options, n):
+                if len({k for k, _ in some}) < n:
+                    continue
+                mods = [57.0215 if aa == "C" else 0.0 for aa in s]
+                for k, d in some:
+                    mods[k] = d
+                mass = (sum(chem.RESIDUE_MASS[aa] + chem.nano(m) for aa, m in zip(s, mods)) + chem.nano(opts.nterm) + chem.nano(opts.cterm)) / 1e9
+                if opts.min_mass <= mass <= opts.max_mass:
+                    want.append((s, f"p{i}", i % 2 == 0, mass, mods, "".join(aa + (f"[{m}]" if m else "") for aa, m in zip(s, mods)), len(s)))
+    got = cand.modify(df, opts)
+    assert sorted(map(tuple, got.select("seq", "desc", "decoy", "mass", "mods", "modseq", "length").collect())) == sorted(want)
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
