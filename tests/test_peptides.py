@@ -178,3 +178,14 @@ def test_forms_against_plain_loops(spark):
     got = cand.modify(df, opts)
     assert sorted(map(tuple, got.select("seq", "desc", "decoy", "mass", "mods", "modseq", "length").collect())) == sorted(want)
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_colliding_decoys_and_what_is_shuffled(spark):
+    kind = "seq string, mods array<double>"
+    decoys = spark.createDataFrame([("AK", [0.0, 0.0]), ("AK", [1.5, 0.0]), ("CK", [57.0215, 0.0]), ("MK", [0.0, 0.0]), (None, [0.0]), ("A", None)], kind)
+    targets = spark.createDataFrame([("AK", [0.0, 0.0]), ("AK", [2.5, 0.0]), ("CK", [57.0215, 0.0]), ("KM", [0.0, 0.0]), (None, [0.0]), ("A", None)], kind)
+    got = {(r["seq"], tuple(r["mods"] or ())) for r in cand.drop_colliding_decoys(decoys, targets).collect()}
+    assert got == {("AK", (1.5, 0.0)), ("MK", (0.0, 0.0)), (None, (0.0,)), ("A", ())}
+    one, other = (cand.with_fixed_mods(spark.range(n).select(F.col("id").cast("string").alias("seq")).distinct()) for n in (50, 70))
+    plan = cand.drop_colliding_decoys(one, other.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
