@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from massloom.operators import cellscores
 from massloom.operators import search as search_ops
 from massloom.operators.cells import PACK, cell_scorer, pack_rows
+from massloom.operators.hyperscore import joined_ions, match_ions
 from massloom.operators.precursor import CELL, cell_rows, mass_bin, precursor_join
 from massloom.options import HyperscoreOptions, IonOptions, SearchOptions, XcorrOptions
 from tests.test_scoring import naive_pairs, sides  # noqa: F401
@@ -191,3 +193,85 @@ def test_a_condition_stands_below_the_sums(sides):  # noqa: F811
         assert at and sums and min(at) > min(sums)
         # and in the join itself, so that a refused pair gives no row
         assert all("Join" in plan[i] for i in at)
+
+
+@pytest.mark.parametrize("k", range(len(HYPER)))
+def test_matches_of_a_cell_are_those_of_the_join(sides, k):  # noqa: F811
+    spectra, cands, _ = sides
+    ions = IONS[k % len(IONS)]
+    both = cell_rows(*search_ops._narrow(spectra, cands), SearchOptions(spectra_per_cell=3, candidates_per_cell=20, pairs_per_cell=50))
+    got, want = match_ions(*both, HYPER[k], ions), joined_ions(*both, HYPER[k], ions)
+    assert got.dtypes == want.dtypes
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(got) == rows(want) and rows(got)
+    assert "SortMergeJoin" not in got.select("peak")._jdf.queryExecution().executedPlan().toString().replace("mass_bin", "")
+
+
+def test_ions_far_from_all_peaks_are_passed_over(monkeypatch, sides):  # noqa: F811
+    """In stretches of m/z without peaks no ion is compared; the matches are the same."""
+    spectra, cands, _ = sides
+    for opts in HYPER:
+        every = scores(search_ops.score_hyperscore(spectra, cands, opts))
+        kernel = cellscores.HyperscoreKernel(opts, IonOptions())
+        rng = np.random.default_rng(5)
+        kernel.mz, kernel.share, kernel.near = np.sort(rng.uniform(50, 1900, 60)), np.ones(60), None
+        ion = np.concatenate([rng.uniform(-5, 4000, 40_000), kernel.mz * (1 + 19.9e-6), kernel.mz + 0.49, [0.0, 1e9]])
+        assert every
+        near = kernel._near(ion)
+        reach = opts.tolerance * 1e-6 * kernel.mz if opts.unit == "ppm" else opts.tolerance
+        meets = np.flatnonzero((np.abs(ion[:, None] - kernel.mz) <= reach).any(1))
+        assert set(meets) <= set(near) and len(near) < len(ion) / 2
+
+
+def test_a_cell_leaves_out_what_is_not_among_the_best(sides):  # noqa: F811
+    spectra, cands, _ = sides
+    left_out = 0
+    for scorer in (search_ops.score_xcorr, search_ops.score_hyperscore, search_ops.score_combined):
+        every, few = scores(scorer(spectra, cands)), scores(scorer(spectra, cands, best=1))
+        of = {}
+        for (q, _), r in every.items():
+            of.setdefault(q, []).append(r["score"])
+        want = {p for p, r in every.items() if r["score"] == max(of[p[0]])}
+        assert want <= set(few)
+        same(few, {p: every[p] for p in few})
+        left_out += len(every) - len(few)
+    assert left_out > 0
+
+
+def test_a_nested_column_is_not_carried_beside_peaks(sides):  # noqa: F811
+    spectra, cands, _ = sides
+    spectra = spectra.withColumn("probs", F.array(F.lit(8), F.lit(10), F.col("charge") * 3))
+    rows = search_ops.search(spectra, cands, cand_filter=F.expr(BOTH[3]), retain=3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "mz_bucket" not in plan
+
+
+def test_only_what_a_query_reads_is_stored(spark, sf, monkeypatch):
+    from massloom.plans import registry
+
+    stored = []
+    monkeypatch.setattr(registry, "materialize", lambda df, path=None: stored.append(df.columns) or df.limit(0))
+    registry.precursor_range_join(spark, sf)
+    registry.candidate_filter_length(spark, sf)
+    registry.xcorr_score(spark, sf)
+    assert ["cand_id", "mass"] in stored and ["cand_id", "mass", "length"] in stored
+    assert search_ops.CANDIDATE_COLUMNS in stored and not any("desc" in x for x in stored)
+
+
+def test_user_scorer_of_the_registry(sides):  # noqa: F811
+    """Counts of peaks and ions within 20 ppm against all pairs of them; pairs without any are not listed."""
+    from massloom.plans import registry
+
+    spectra, cands, _ = sides
+    s, c = spectra.toArrow(), cands.toArrow()
+    got = {(r["query_id"], r["cand_id"]): r["score"] for r in registry._matched_ions(s, c).to_pylist()}
+    listed, want = cellscores.ions_of(c, IonOptions(), 3), {}
+    for row in s.to_pylist():
+        top = max(p["intensity"] for p in row["peaks"])
+        peaks = np.array([p["mz"] for p in row["peaks"] if p["intensity"] / top > 0.01])
+        for i, (cand_id, mass) in enumerate(zip(c["cand_id"].to_pylist(), c["mass"].to_pylist())):
+            if row["min_mass"] <= mass <= row["max_mass"]:
+                ions = listed.below(i, i + 1, row["charge"]).mz
+                if n := int((np.abs((peaks[:, None] - ions) / peaks[:, None] * 1e6) <= 20).sum()):
+                    want[row["query_id"], cand_id] = float(n)
+    assert got == want and want
