@@ -187,5 +187,9 @@ def test_colliding_decoys_and_what_is_shuffled(spark):
     got = {(r["seq"], tuple(r["mods"] or ())) for r in cand.drop_colliding_decoys(decoys, targets).collect()}
     assert got == {("AK", (1.5, 0.0)), ("MK", (0.0, 0.0)), (None, (0.0,)), ("A", ())}
     one, other = (cand.with_fixed_mods(spark.range(n).select(F.col("id").cast("string").alias("seq")).distinct()) for n in (50, 70))
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")  # as a session has it that says nothing
     plan = cand.drop_colliding_decoys(one, other.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(setting, before)
     assert plan.count("Exchange hashpartitioning") == 2
